@@ -1,3 +1,10 @@
 """inkgauge: text-contribution analytics and corpus operators on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors with their code, so these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
