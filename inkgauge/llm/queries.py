@@ -4,12 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgauge.llm import groups, mixing, packing, spans, tokens
+from inkgauge.llm import answers, ending, groups, mixing, packing, shape, spans, tokens
 from inkgauge.sources.tables import table
 
 _CLUSTER = ("source_cluster_domain", "source_cluster_id", "source_cluster_fingerprint")
 
 
+_PAIR = ("pair_id", "generation_model", "prompt", "output", "output_tokens")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.shapes(table(spark, sf_dir, "level_results", "pair_id", "prompt", "output"))
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.with_shape(table(spark, sf_dir, "level_results", "pair_id", "output"), "output").drop("output")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.defects(table(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ending.truncated(table(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes")).select("pair_id")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ending.rates(table(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     related = groups.related(table(spark, sf_dir, "paired_items", "paired_id", *_CLUSTER), "paired_id")
     return related.filter("n_sources > 1").select("paired_id", "group_key")
@@ -60,6 +83,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p5_found": p5_found, "p5_rates": p5_rates,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_level_splits": p4_level_splits,
     "p6_containers": p6_containers, "p6_unused": p6_unused, "p6_proportions": p6_proportions,
     "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share,

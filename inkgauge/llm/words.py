@@ -24,10 +24,10 @@ COMMON = {
 
 #: Words by which a request shows its language, besides the common ones.
 REQUEST = {
-    "en": "write please text words title something suitable continue edit improve give answer result below",
-    "de": "schreibe bitte text wörtern titel mache verbessere folgenden diesen diesem kurzen",
-    "fr": "rédige écris texte mots suivants améliore développe transforme titre intitulé ces",
-    "es": "redacta escribe texto palabras estas estos mejora amplía convierte título favor",
+    "en": "write please words something suitable continue edit improve give answer result below compose draft heading polish short make",
+    "de": "schreibe bitte wörtern mache verbessere folgenden diesen diesem kurzen zusammenhängenden",
+    "fr": "rédige écris mots suivants améliore développe transforme intitulé ces",
+    "es": "redacta escribe palabras estas estos mejora amplía convierte título favor",
 }
 
 #: How a request names the language of the answer.
