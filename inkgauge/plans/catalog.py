@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgauge.plans import delivery
+from inkgauge.plans import cohorts, delivery, statistics
 
-_MODULES = (delivery,)
+_MODULES = (delivery, statistics, cohorts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
