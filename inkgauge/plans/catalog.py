@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgauge.plans import cohorts, delivery, statistics
+from inkgauge.plans import cohorts, delivery, modelling, operations, scoring, statistics, texts
 
-_MODULES = (delivery, statistics, cohorts)
+_MODULES = (scoring, texts, statistics, cohorts, modelling, operations, delivery)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.p3_messages(spark, sf_dir)
+    return scoring.P07_information_gain(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
