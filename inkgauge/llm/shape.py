@@ -18,7 +18,7 @@ _MARKED = r"^\s*([-–—•*·]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S
 #: A short line of up to five words that ends without punctuation.
 _BARE = r"^\s*(\S+\s+){0,4}\S*[^\s.!?…,;:]\s*$"
 #: A line of cells: tabs, bars, ampersands, wide gaps, commas without spaces, or a rule between rows.
-_CELLS = r"\S\t+\S|^\s*\|.*\|\s*$|\S \| \S|\S & \S|\S {3,}\S.*|^[^\s,]+(,[^\s,]+){2,}$|^[-+|:= ]{5,}$|^\s*\\(begin|end)\{"
+_CELLS = r"\S\t+\S|^\s*\|.*\|\s*$|\S \| \S|\S & \S|\S {3,}\S|^[^\s,]+,[^\s,]+,\S*$|^[-+|:= ]{5,}$|^\s*\\(begin|end)\{"
 #: A line that ends as a sentence does.
 _ENDED = r"[.!?…][\"'”’»)\]*_]*\s*$"
 #: The end of a sentence.
