@@ -9,7 +9,7 @@ from inkgauge.functions import codecs, text
 from inkgauge.operators import geometry
 from inkgauge.plans.base import RATINGS, Register, ratings, rounded
 from inkgauge.session import materialized
-from inkgauge.sources.tables import table
+from inkgauge.sources.tables import table, texts
 
 query = Register()
 ITEM = ["generation_model", "domain", "id"]
@@ -17,7 +17,7 @@ ITEM = ["generation_model", "domain", "id"]
 
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, item and level, tokens and the codec profile of every pair, written once."""
-    rows = table(spark, sf_dir, "level_results", "pair_id", *ITEM, "level", "prompt", "output")
+    rows = texts(spark, sf_dir, "level_results", "pair_id", *ITEM, "level", "prompt", "output")
     scored = rows.select(
         "pair_id", *ITEM, "level", text.token_count(F.coalesce("output", F.lit(""))).alias("tokens"),
         (F.trim(F.coalesce("prompt", F.lit(""))) != "").alias("has_prompt"), (F.trim(F.coalesce("output", F.lit(""))) != "").alias("has_output"),
@@ -109,7 +109,7 @@ def G06_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def G08_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "level_results", "pair_id", "prompt", "output").filter("prompt is not null and output is not null")
+    rows = texts(spark, sf_dir, "level_results", "pair_id", "prompt", "output").filter("prompt is not null and output is not null")
     v = rows.select("pair_id", geometry.text_vector(F.col("prompt")).alias("p"), geometry.text_vector(F.col("output")).alias("o"))
     return rounded(v.select("pair_id", F.greatest(geometry.cosine(F.col("p"), F.col("o")), F.lit(0.0)).alias("alignment")))
 

@@ -10,13 +10,13 @@ from inkgauge.functions import features, text
 from inkgauge.functions.unicode import surface
 from inkgauge.operators import delivery
 from inkgauge.plans.base import Register, rounded
-from inkgauge.sources.tables import table
+from inkgauge.sources.tables import table, texts
 
 query = Register()
 
 
 def _pairs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return table(spark, sf_dir, "level_results", "pair_id", "prompt", "output", *more)
+    return texts(spark, sf_dir, "level_results", "pair_id", "prompt", "output", *more)
 
 
 @query(r"""SELECT pair_id, CAST(len(regexp_extract_all(output, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS INTEGER) AS tokens FROM level_results WHERE output IS NOT NULL AND regexp_full_match(output, '[\x00-\x7f]*')""")

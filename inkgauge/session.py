@@ -65,6 +65,20 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: An input below this many bytes per core is redistributed before work that is heavy on CPU.
+SMALL_PER_CORE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input is small, as a small file is often a single row group and so a single task.
+
+    Larger inputs come in enough partitions and are left as they are: nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_PER_CORE * cores else df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
