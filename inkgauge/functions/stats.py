@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgauge.session import materialized
 
@@ -75,3 +79,32 @@ def tau_b(pairs: DataFrame, keys: list[str], order: str, x: str, y: str) -> Data
     a, b = F.signum(F.col("_x") - F.col("_u")), F.signum(F.col("_y") - F.col("_v"))
     sums = both.groupBy(*keys).agg(F.sum(a * b).alias("s"), F.sum(a * a).alias("p"), F.sum(b * b).alias("q"))
     return sums.select(*keys, F.try_divide(F.col("s"), F.sqrt(F.col("p") * F.col("q"))).alias("tau"))
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularized incomplete beta function, by its continued fraction (Lentz's method)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1.0 / max(1e-300, 1.0 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + term * d or 1e-300)
+            c = 1.0 + term / c or 1e-300
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return front * out
+
+
+@F.pandas_udf(T.DoubleType())
+def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(n) or n < 1 else incomplete_beta(n / 2, 0.5, n / (n + a * a)) for a, n in zip(t, df)], dtype="Float64")
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t; null where t is null or df is below 1."""
+    return _student_p(t, df.cast("double"))

@@ -126,4 +126,35 @@ def G11_centroid_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(near.groupBy("label").agg(F.count("*").alias("n"), F.avg("s").alias("coherence")))
 
 
+@query()
+def P04_self_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts(spark, sf_dir, "level_results", "pair_id", "output")
+    return rounded(rows.select("pair_id", codecs.text_bits(F.col("output")).alias("self_bits")))
+
+
+@query()
+def P10_codec_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item and codec the mean ratio of the pairs that have a prompt and an output."""
+    long = pair_scores(spark, sf_dir).filter("has_prompt and has_output").select(*ITEM, F.inline("profile"))
+    ratio = F.least(F.coalesce(F.try_divide(F.greatest(F.expr("self_bits - given_bits"), F.lit(0.0)), F.col("self_bits")), F.lit(0.0)), F.lit(1.0))
+    return rounded(long.groupBy(*ITEM, "codec").agg(F.avg(ratio).alias("baseline"), F.count("*").alias("n")))
+
+
+@query()
+def P16_stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ratio beside the recomputed one."""
+    scored = pair_scores(spark, sf_dir)
+    stored = table(spark, sf_dir, "level_results", "pair_id", "actual_ratio")
+    fresh = scored.select("pair_id", codecs.gain(F.col("profile"), F.col("tokens"))["ratio"].alias("ratio"))
+    return rounded(stored.join(fresh, "pair_id").withColumn("gap", F.expr("ratio - actual_ratio")))
+
+
+@query()
+def G09_hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0.55 ratio + 0.20 alignment, with the weights set to add up to 1 where guidance and trajectory are not known."""
+    scored = pair_scores(spark, sf_dir).select("pair_id", codecs.gain(F.col("profile"), F.col("tokens"))["ratio"].alias("ratio"))
+    both = scored.join(G08_alignment(spark, sf_dir), "pair_id")
+    return rounded(both.withColumn("hybrid", (0.55 * F.col("ratio") + 0.20 * F.coalesce("alignment", F.lit(0.0))) / 0.75))
+
+
 QUERIES, SQL = query.QUERIES, query.SQL

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkgauge.functions import stats
+from inkgauge.operators import cohorts
 from inkgauge.plans.base import ITEMS, PAIRED, RATINGS, Register, items, paired, ratings, rounded
 from inkgauge.sources.tables import table
 
@@ -396,4 +397,37 @@ def W08_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy(*ITEM).agg(part("k <= ceil(0.3 * n)").alias("first_part"), part("k > n - ceil(0.3 * n)").alias("last_part")), 9)
 
 
+@query()
+def A10_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = paired(spark, sf_dir).groupBy("evaluator", "model").agg(F.count("*").alias("n"), stats.pearson("phi", "act").alias("r"))
+    t = F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r")))
+    s = s.withColumn("t", F.when(F.col("n") > 2, t))
+    return rounded(s.withColumn("p", stats.student_p(F.col("t"), F.col("n") - 2)))
+
+
+@query(f"""WITH {RATINGS} SELECT domain, round(avg(CASE WHEN lv = 1 THEN r END), 6) AS first_level, round(avg(CASE WHEN lv = 5 THEN r END), 6) AS last_level,
+round(avg(CASE WHEN r = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share FROM ratings WHERE r IS NOT NULL GROUP BY domain""")
+def A41_quick_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.avg(F.when(F.col("lv") == k, F.col("r")))
+    rows = ratings(spark, sf_dir).filter("r is not null").groupBy("domain")
+    return rounded(rows.agg(at(1).alias("first_level"), at(5).alias("last_level"), F.avg((F.col("r") == 0).cast("double")).alias("zero_share")))
+
+
+@query(f"""WITH {RATINGS}, l AS (SELECT model, r, (6.0 - lv) / 5 AS label FROM ratings WHERE r IS NOT NULL)
+SELECT model, count(*) AS n, round({_ALPHA.format('label', 'r')}, 6) AS alpha FROM l GROUP BY model""")
+def A42_label_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ratings(spark, sf_dir).filter("r is not null").select("model", "r", ((6.0 - F.col("lv")) / 5).alias("label"))
+    return rounded(rows.groupBy("model").agg(F.count("*").alias("n"), stats.alpha("label", "r").alias("alpha")))
+
+
+@query(f"""WITH {RATINGS}, c AS (SELECT model, domain, r, 6.0 - lv AS given, row_number() OVER (PARTITION BY model, domain ORDER BY r DESC, id, lv) - 1 AS k, count(*) OVER (PARTITION BY model, domain) AS n
+FROM ratings WHERE r IS NOT NULL), l AS (SELECT *, 5.0 - CASE WHEN n < 5 THEN 4 ELSE least(floor(k / floor(n / 5)), 4) END AS derived FROM c)
+SELECT domain, count(*) AS n, round({_R.format('r', 'given')}, 6) AS r_given, round({_R.format('r', 'derived')}, 6) AS r_derived, round(avg(CASE WHEN given = derived THEN 1.0 ELSE 0.0 END), 6) AS same FROM l GROUP BY domain""")
+def A44_label_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cohorts.stratify(ratings(spark, sf_dir).filter("r is not null"), ["model", "domain"], "r", ["id", "lv"])
+    rows = rows.withColumns({"given": 6.0 - F.col("lv"), "derived": 6.0 - F.col("stratum")}).groupBy("domain")
+    same = F.avg((F.col("given") == F.col("derived")).cast("double"))
+    return rounded(rows.agg(F.count("*").alias("n"), stats.pearson("r", "given").alias("r_given"), stats.pearson("r", "derived").alias("r_derived"), same.alias("same")))
+
+
 QUERIES, SQL = query.QUERIES, query.SQL

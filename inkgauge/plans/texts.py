@@ -145,4 +145,40 @@ def T25_canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("delivery_id", F.col("digest").alias("row_sha256"), (given == F.col("digest")).alias("matches"))
 
 
+@query(f"""{_EXPLODED}, w AS (SELECT o.pair_id, sum(o.n * coalesce(p.n, 0)) AS dot FROM o LEFT JOIN p ON o.pair_id = p.pair_id AND o.w = p.w GROUP BY 1),
+a AS (SELECT pair_id, sqrt(sum(n * n)) AS s FROM o GROUP BY 1), b AS (SELECT pair_id, sqrt(sum(n * n)) AS s FROM p GROUP BY 1)
+SELECT w.pair_id, round(coalesce(w.dot / nullif(a.s * b.s, 0), 0), 6) AS cosine FROM w JOIN a ON a.pair_id = w.pair_id LEFT JOIN b ON b.pair_id = w.pair_id""")
+def T12_bag_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = lambda c: _pairs(spark, sf_dir).select("pair_id", F.explode(text.words(F.col(c))).alias("w")).groupBy("pair_id", "w").agg(F.count("*").alias(c))
+    both = counts("output").join(counts("prompt"), ["pair_id", "w"], "full").fillna(0, ["output", "prompt"]).groupBy("pair_id")
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = both.agg(dot("output", "prompt").alias("d"), dot("output", "output").alias("a"), dot("prompt", "prompt").alias("b")).filter("a > 0")
+    cosine = F.try_divide(F.col("d"), F.sqrt(F.col("a")) * F.sqrt(F.col("b")))
+    return rounded(sums.select("pair_id", F.coalesce(cosine, F.lit(0.0)).alias("cosine")))
+
+
+@query(r"""SELECT pair_id, CASE regexp_extract(prompt, '[1-6]') WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '3' THEN 'three' WHEN '4' THEN 'four' WHEN '5' THEN 'five' WHEN '6' THEN 'six'
+ELSE CASE WHEN regexp_matches(lower(prompt), 'poem|verse') THEN 'verse' WHEN regexp_matches(lower(prompt), 'title|heading|headline') THEN 'title' ELSE 'other' END END AS category FROM level_results WHERE prompt IS NOT NULL""")
+def T21_category_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digit = F.regexp_extract("prompt", "[1-6]", 0)
+    out = F.when(digit == "1", "one").when(digit == "2", "two").when(digit == "3", "three").when(digit == "4", "four").when(digit == "5", "five").when(digit == "6", "six")
+    low = F.lower("prompt")
+    out = out.when(low.rlike("poem|verse"), "verse").when(low.rlike("title|heading|headline"), "title").otherwise("other")
+    return _pairs(spark, sf_dir).filter("prompt is not null").select("pair_id", out.alias("category"))
+
+
+@query("""SELECT pair_id, sha256(concat_ws(chr(0), generation_model, domain, id, level, prompt_sha256)) AS path_id FROM level_results
+WHERE generation_model IS NOT NULL AND domain IS NOT NULL AND id IS NOT NULL AND level IS NOT NULL AND prompt_sha256 IS NOT NULL""")
+def T26_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = ["generation_model", "domain", "id", "level", "prompt_sha256"]
+    rows = table(spark, sf_dir, "level_results", "pair_id", *parts).dropna(subset=parts)
+    return rows.select("pair_id", F.sha2(F.concat_ws("\0", *parts), 256).alias("path_id"))
+
+
+@query()
+def T24_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir)
+    return rows.select("pair_id", F.sha2(F.coalesce(text.merged_continuation(F.col("prompt"), F.col("output")), F.lit("")), 256).alias("merged_sha256"))
+
+
 QUERIES, SQL = query.QUERIES, query.SQL
