@@ -94,10 +94,19 @@ def text_bits(text: Column) -> Column:
     return _text_bits(text)
 
 
-def distance(left: str, right: str) -> float:
-    """Normalized compression distance over the mean of the codecs, between 0 and 1; 0 if both are empty."""
+def distance(left: str, right: str, seen: dict | None = None) -> float:
+    """Normalized compression distance over the mean of the codecs, between 0 and 1; 0 if both are empty.
+
+    seen keeps the bits of texts that come again.
+    """
+    known = {} if seen is None else seen
+
+    def mean(data: bytes) -> float:
+        if data not in known:
+            known[data] = sum(bits(data, c) for c in CODECS) / len(CODECS)
+        return known[data]
+
     a, b = _utf8(left), _utf8(right)
-    mean = lambda data: sum(bits(data, c) for c in CODECS) / len(CODECS)
     one, other, both = mean(a), mean(b), mean(a + SEPARATOR + b)
     return min(1.0, max(0.0, (both - min(one, other)) / max(one, other))) if max(one, other) > 0 else 0.0
 
