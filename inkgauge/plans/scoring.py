@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkgauge.functions import codecs, text
 from inkgauge.operators import geometry
 from inkgauge.plans.base import RATINGS, Register, ratings, rounded
-from inkgauge.session import materialized
+from inkgauge.session import materialized, spread
 from inkgauge.sources.tables import table, texts
 
 query = Register()
@@ -49,7 +49,7 @@ def P09_level_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "level_results", *ITEM, "level", "pair_id", "output").filter("level in ('L1', 'L5') and output is not null")
     at = lambda k: F.min_by("output", F.when(F.col("level") == k, F.col("pair_id")))
     ends = rows.groupBy(*ITEM).agg(at("L1").alias("first"), at("L5").alias("last")).dropna(subset=["first", "last"])
-    return rounded(ends.select(*ITEM, codecs.compression_distance(F.col("first"), F.col("last")).alias("distance")))
+    return rounded(spread(ends).select(*ITEM, codecs.compression_distance(F.col("first"), F.col("last")).alias("distance")))
 
 
 @query()
@@ -93,7 +93,8 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "level_results", *ITEM, "level", "pair_id", "prompt", "output").filter("level is not null")
     first = rows.groupBy(*ITEM, "level").agg(F.min(F.struct("pair_id", "prompt", "output")).alias("s"))
     out = first.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.struct("level", "s.prompt", "s.output"))).alias("s"))
-    return out.select(*ITEM, F.transform("s", lambda x: x["prompt"]).alias("prompts"), F.transform("s", lambda x: x["output"]).alias("outputs"))
+    out = out.select(*ITEM, F.transform("s", lambda x: x["prompt"]).alias("prompts"), F.transform("s", lambda x: x["output"]).alias("outputs"))
+    return spread(out)
 
 
 @query()
