@@ -24,6 +24,8 @@ from inkgauge.session import materialized
 WINDOW_TOKENS, WINDOW = 400_000, 64
 #: Tokens of a cell of a queue, about.
 CELL_TOKENS = 2_000_000
+#: Items without tokens in a window, about.
+EMPTY_ITEMS = 50_000
 
 _PACKED = row(container="string", window="long", bin="int", source="string", doc_id="long", piece="long", start_token="long", tokens="long")
 
@@ -52,14 +54,15 @@ def schedule(items: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     queue = F.coalesce("source", F.lit("\0"))
     per_window = F.greatest(F.lit(WINDOW_TOKENS), F.col("capacity") * WINDOW)
     items = items.withColumn("queue", queue).withColumn("place", F.xxhash64("doc_id", F.lit("queue")))
-    have = items.groupBy("container", "queue").agg(F.sum("tokens").alias("_sum"))
+    have = items.groupBy("container", "queue").agg(F.sum("tokens").alias("_sum"), F.count_if(F.col("tokens") == 0).alias("_none"))
     have = have.withColumn("_all", F.sum("_sum").over(W.partitionBy("container")))
     if shares is None:
         quanta = have.withColumn("share", F.try_divide(F.col("_sum"), F.col("_all")))
     else:
         quanta = have.join(shares.select(queue.alias("queue"), "share"), "queue", "left")
         quanta = quanta.withColumn("share", F.coalesce("share", F.try_divide(F.col("_sum"), F.col("_all"))))
-    quanta = quanta.withColumn("cells", F.ceil(F.col("_sum") / CELL_TOKENS) + 1).select("container", "queue", "share", "cells")
+    quanta = quanta.withColumn("cells", F.ceil(F.col("_sum") / CELL_TOKENS) + 1)
+    quanta = quanta.withColumn("spread", F.ceil(F.col("_none") / EMPTY_ITEMS)).select("container", "queue", "share", "cells", "spread")
     placed = items.join(F.broadcast(quanta), ["container", "queue"])  # one row per source and container
     placed = placed.withColumn("cell", F.pmod("place", F.col("cells")))
     cells = placed.groupBy("container", "queue", "cell").agg(F.sum("tokens").alias("_t"))
@@ -69,7 +72,9 @@ def schedule(items: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     sent = placed.join(cells, ["container", "queue", "cell"]).withColumn("_end", F.col("_before") + within)
     quantum = F.col("share") * per_window
     window = F.greatest(F.ceil(F.coalesce(F.try_divide(F.col("_end"), quantum), F.lit(0.0)) - 1e-9).cast("long") - 1, F.lit(0))
-    return sent.withColumn("window", window).drop("queue", "place", "cells", "cell", "share", "_before", "_end")
+    # Items without tokens take no part in the round-robin; they are spread so that no window holds many of them.
+    window = F.when(F.col("tokens") == 0, F.pmod("place", F.greatest("spread", F.lit(1)))).otherwise(window)
+    return sent.withColumn("window", window).drop("queue", "place", "cells", "cell", "share", "spread", "_before", "_end")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:

@@ -63,6 +63,13 @@ def test_every_document_is_packed_once_and_nothing_overflows(spark, monkeypatch)
     assert packing.pack(df.limit(0), specs).count() == 0
 
 
+def test_empty_documents_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "EMPTY_ITEMS", 100)
+    df = spark.createDataFrame([(i, "void", 0) for i in range(1000)] + [(1000, "a", 5)], SIZED)
+    got = packing.pack(df, spark.createDataFrame([("c", 10, "x")], SPECS)).collect()
+    assert len({r.window for r in got}) == 10 and len(got) == 1001
+
+
 def test_windows_hold_the_proportions(spark, monkeypatch):
     monkeypatch.setattr(packing, "WINDOW_TOKENS", 20_000)
     rows = [(i, "big" if i % 3 else "small", 50 + i % 17) for i in range(6000)]
