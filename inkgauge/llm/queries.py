@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkgauge.llm import answers, ending, groups, mixing, packing, shape, spans, tokens
-from inkgauge.sources.tables import table
+from inkgauge.sources.tables import table, texts
 
 _CLUSTER = ("source_cluster_domain", "source_cluster_id", "source_cluster_fingerprint")
 
@@ -14,23 +14,23 @@ _PAIR = ("pair_id", "generation_model", "prompt", "output", "output_tokens")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.shapes(table(spark, sf_dir, "level_results", "pair_id", "prompt", "output"))
+    return answers.shapes(texts(spark, sf_dir, "level_results", "pair_id", "prompt", "output"))
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.with_shape(table(spark, sf_dir, "level_results", "pair_id", "output"), "output").drop("output")
+    return shape.with_shape(texts(spark, sf_dir, "level_results", "pair_id", "output"), "output").drop("output")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.defects(table(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes"))
+    return answers.defects(texts(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ending.truncated(table(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes")).select("pair_id")
+    return ending.truncated(texts(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes")).select("pair_id")
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ending.rates(table(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes"))
+    return ending.rates(texts(spark, sf_dir, "level_results", *_PAIR), table(spark, sf_dir, "routes"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def p4_level_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.sized_documents(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return tokens.sized_documents(texts(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +74,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return spans.shared_spans(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    documents = texts(spark, sf_dir, "documents", "doc_id", "text")
     return spans.shared_share(documents, spans.shared_spans(documents))
 
 
