@@ -9,16 +9,26 @@ _WORD = re.compile(r"\w+")
 SHINGLE, OPENING, SHARE = 4, 12, 0.9
 
 
-def copied(prompt: str, output: str) -> bool:
-    """True if output is prompt or the passage in it, but for case, spacing, an opening phrase or repetition.
+def words_of(text: str) -> list[str]:
+    """Case-folded words of text."""
+    return _WORD.findall(text.casefold())
 
-    After at most OPENING words of its own, SHARE of the words of output must lie in runs of SHINGLE words (of all words,
-    if there are fewer) that prompt has. Answers of fewer than 3 words are no copies.
+
+def copied(prompt: str, own: list[str]) -> bool:
+    """True if own, the words_of() an answer, are prompt or the passage in it, but for case, spacing, an opening phrase or
+    repetition.
+
+    After at most OPENING words of its own, SHARE of the words must lie in runs of SHINGLE words (of all words, if there
+    are fewer) that prompt has, and half of eight words spread over the second half must come from it at all. Answers of
+    fewer than 3 words are no copies.
     """
-    own = _WORD.findall(output.casefold())
     if len(own) < 3:
         return False
-    given = _WORD.findall(prompt.casefold())
+    folded = prompt.casefold()
+    spread = own[len(own) // 2 :: max(1, len(own) // 16)][:8]
+    if 2 * sum([w in folded for w in spread]) < len(spread):
+        return False
+    given = _WORD.findall(folded)
     known = set(given)
     if sum([w in known for w in own]) < 0.55 * len(own):
         return False

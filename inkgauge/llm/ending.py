@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions.types import row
 from inkgauge.llm.blank import is_empty
-from inkgauge.llm.copies import copied
+from inkgauge.llm.copies import copied, words_of
 from inkgauge.llm.shape import with_shape
 from inkgauge.llm.words import COMMON
 from inkgauge.session import materialized
@@ -159,17 +159,23 @@ def ending(output: str, shape: str | None) -> tuple[str, str | None]:
     return "unended", last
 
 
-_ENDING = row(state="string", last_word="string", copy="boolean")
+_ENDING = row(pair_id="long", generation_model="string", output_tokens="int", n_chars="int", state="string", last_word="string")
 
 
-@F.pandas_udf(_ENDING)
-def _endings(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for prompts, outputs, shapes in batches:
+def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The endings that are not whole, without copies of the prompt and outputs that are no answer at all."""
+    for batch in batches:
         found = []
-        for prompt, output, shape in zip(prompts, outputs, shapes):
-            state, last = ("whole", None) if is_empty(output) else ending(output, shape if isinstance(shape, str) else None)
-            found.append((state, last, state != "whole" and isinstance(prompt, str) and copied(prompt, output)))
-        yield pd.DataFrame(found, columns=_ENDING.names)
+        columns = (batch[c] for c in ("pair_id", "generation_model", "output_tokens", "n_chars", "prompt", "output", "shape"))
+        for *known, prompt, output, shape in zip(*columns):
+            if is_empty(output):
+                continue
+            state, last = ending(output, shape if isinstance(shape, str) else None)
+            if state != "whole" and not (isinstance(prompt, str) and copied(prompt, words_of(output))):
+                found.append((*known, state, last))
+        out = pd.DataFrame(found, columns=_ENDING.names)
+        out["output_tokens"] = out["output_tokens"].astype("Int32")
+        yield out
 
 
 def _count(text: Column, *marks: str) -> Column:
@@ -220,11 +226,8 @@ def truncated(rows: DataFrame, routes: DataFrame) -> DataFrame:
     """
     rows = rows.select("pair_id", "generation_model", "prompt", "output", "output_tokens")
     shaped = with_shape(suspects(rows), "output").filter("shape is null or shape <> 'junk'")
-    read = shaped.select(
-        "pair_id", "generation_model", "output_tokens", F.length("output").alias("n_chars"), "shape",
-        _endings(F.col("prompt"), F.col("output"), F.col("shape")).alias("e"),
-    )
-    read = materialized(read.select("*", "e.*").drop("e").filter("state <> 'whole' and not copy").drop("copy"), "endings")
+    read = shaped.select("pair_id", "generation_model", "output_tokens", F.length("output").alias("n_chars"), "prompt", "output", "shape")
+    read = materialized(read.mapInPandas(_endings, _ENDING), "endings")
     most = routes.groupBy(F.col("model").alias("generation_model")).agg(F.max("max_output_tokens").alias("most"))
     everything = rows.filter(F.trim("output") != "").groupBy("generation_model").agg(F.count("*").alias("n"))
     habit = read.filter("state = 'unended'").groupBy("generation_model").agg(F.count("*").alias("open")).join(everything, "generation_model")

@@ -6,6 +6,7 @@ same expressions compute, and come back as one CASE expression.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def with_statistics(rows: DataFrame, text: str) -> DataFrame:
     """
     common = F.array(*[F.lit(w) for w in dict.fromkeys(w for words in COMMON.values() for w in words)])
     body = F.coalesce(F.col(text), F.lit(""))
+    names = rows.columns
     rows = rows.withColumns(
         {
             "_text": body,
@@ -78,13 +80,16 @@ def with_statistics(rows: DataFrame, text: str) -> DataFrame:
         "item_share": _share(F.length(F.array_join(items, "")), F.col("_size")),
         "cell_share": _share(F.length(F.array_join("_cells", "")), F.col("_size")),
     }
-    return rows.withColumns(out).drop("_text", "_words", "_lines", "_types", "_letters", "_solid", "_cells", "_size")
+    # A generator keeps the optimizer from writing each statistic out anew wherever a rule asks for it.
+    values = F.inline(F.array(F.struct(*[c.alias(name) for name, c in out.items()])))
+    return rows.select(*names, values)
 
 
 def learned_rules(spark: SparkSession, n: int = labelled.TRAINING_DOCUMENTS, seed: int = 7) -> list[Rule]:
     """Rules for table, junk and list, in this order, learned on n labelled documents."""
     if (n, seed) not in _CACHE:
-        made = spark.createDataFrame(labelled.documents(n, seed), "text string, label string")
+        texts, labels = zip(*labelled.documents(n, seed))
+        made = spark.createDataFrame(pa.table({"text": texts, "label": labels}))
         known = with_statistics(made, "text").select("label", *FEATURES).toPandas()  # n rows
         columns = {f: known[f].to_numpy() for f in FEATURES}
         _CACHE[n, seed] = learn(columns, known["label"].to_numpy(), ("table", "junk", "list"))
