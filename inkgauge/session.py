@@ -69,14 +69,20 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 SMALL_PER_CORE = 4 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def plan_bytes(df: DataFrame) -> int:
+    """Size of df as the optimizer estimates it; of a whole table, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, size: int | None = None) -> DataFrame:
     """df over all cores if its input is small, as a small file is often a single row group and so a single task.
 
+    size is the input's size in bytes where it is known better than from the plan, which takes all texts for short.
     Larger inputs come in enough partitions and are left as they are: nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_PER_CORE * cores else df
+    small = (plan_bytes(df) if size is None else size) < SMALL_PER_CORE * cores
+    return df.repartition(cores) if small else df
 
 
 @atexit.register

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgauge.session import spread
+from inkgauge.session import plan_bytes, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -15,4 +15,5 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """table() for work that is heavy on CPU: a small table is spread over all cores."""
-    return spread(table(spark, sf_dir, name, *columns))
+    whole = table(spark, sf_dir, name)
+    return spread(whole.select(*columns) if columns else whole, plan_bytes(whole))
