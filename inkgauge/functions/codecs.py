@@ -121,6 +121,20 @@ def compression_distance(left: Column, right: Column) -> Column:
     return _distances(left, right)
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("distance", T.DoubleType())])))
+def _distances_within(groups: pd.Series, texts: pd.Series) -> pd.Series:
+    out = []
+    for g, t in zip(groups, texts):
+        seen: dict = {}
+        out.append([{"a": i, "b": j, "distance": distance(t[i], t[j], seen)} for i in range(len(t)) for j in range(i + 1, len(t)) if g[i] != g[j]])
+    return pd.Series(out)
+
+
+def distances_within(groups: Column, texts: Column) -> Column:
+    """array of (a, b, distance): every two of texts (none null), by their places a < b, that are not in the same group."""
+    return _distances_within(groups, texts)
+
+
 def gain(profile: Column, tokens: Column) -> dict[str, Column]:
     """self_bits, given_bits, gain, ratio and gain_per_token of a pair_profile: means over the codecs come first."""
     mean = lambda name: F.aggregate(profile, F.lit(0.0), lambda s, x: s + x[name]) / F.size(profile)

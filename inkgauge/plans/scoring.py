@@ -46,10 +46,17 @@ def P08_codec_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def P09_level_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "level_results", *ITEM, "level", "pair_id", "output").filter("level in ('L1', 'L5') and output is not null")
-    at = lambda k: F.min_by("output", F.when(F.col("level") == k, F.col("pair_id")))
-    ends = rows.groupBy(*ITEM).agg(at("L1").alias("first"), at("L5").alias("last")).dropna(subset=["first", "last"])
-    return rounded(spread(ends).select(*ITEM, codecs.compression_distance(F.col("first"), F.col("last")).alias("distance")))
+    """Every two levels of an item. Rows that repeat the text of their level are one, known by the least pair_id; different
+    texts of one level are all compared with those of the other levels. Rows without a level or an output have no distance.
+    """
+    rows = table(spark, sf_dir, "level_results", *ITEM, "level", "pair_id", "output").filter("level is not null and output is not null")
+    first = rows.groupBy(*ITEM, "level", "output").agg(F.min("pair_id").alias("pair_id"))
+    sets = first.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.struct("level", "pair_id", "output"))).alias("s"))
+    far = codecs.distances_within(F.transform("s", lambda x: x["level"]), F.transform("s", lambda x: x["output"]))
+    out = spread(sets).select(*ITEM, F.transform("s", lambda x: F.struct(x["level"].alias("level"), x["pair_id"].alias("pair_id"))).alias("s"), F.explode(far).alias("d"))
+    at = lambda i: F.get("s", F.col(f"d.{i}"))
+    ends = [at("a")["level"].alias("lv"), at("b")["level"].alias("l2"), at("a")["pair_id"].alias("pair_id"), at("b")["pair_id"].alias("other_id")]
+    return rounded(out.select(*ITEM, *ends, F.col("d.distance").alias("distance")))
 
 
 @query()
