@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Letters, digits and the underscore, as the measure's tokens are defined.
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+#: White space as Python's re has it: Unicode's, which \s of Java and RE2 leaves out beyond ASCII, and four control characters.
+SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 #: Words that say little (fixed values).
 STOPWORDS = "a an the and or but of to in on at for with by from as is are was were be been it its this that these those not no".split()
 #: Prefixes by which a failed call is known (fixed values).
@@ -18,6 +20,16 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN))
 
 
+def unicode_token_count(text: Column) -> Column:
+    """Matches of Python's \\w+|[^\\w\\s]; unlike token_count(), no-break and other Unicode spaces are no tokens."""
+    return F.regexp_count(text, F.lit(rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]"))
+
+
+def unicode_split(text: Column) -> Column:
+    """Runs of text without white space, as Python's str.split() gives them."""
+    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words in lower case, with ß as ss."""
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(WORD), F.lit(0))

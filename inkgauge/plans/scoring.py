@@ -89,12 +89,21 @@ def P12_shared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT pair_id, CASE WHEN length(trim(prompt)) >= 20 THEN prompt ELSE 'Write about: ' || array_to_string(list_slice(regexp_split_to_array(trim(output), '\s+'), 1, 50), ' ') END AS counterfactual_prompt
 FROM level_results WHERE prompt IS NOT NULL AND output IS NOT NULL AND regexp_full_match(output, '[\x00-\x7f]*')""")
 def P19_counterfactual_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part that the SQL defines: ASCII outputs only. P19_all_counterfactual_prompts has every output."""
     rows = table(spark, sf_dir, "level_results", "pair_id", "prompt", "output").filter("prompt is not null and output is not null")
     rows = rows.filter(F.col("output").rlike(r"\A[\x00-\x7f]*\z"))
     head = F.array_join(F.slice(F.split(F.trim("output"), r"\s+"), 1, 50), " ")
     return rows.select("pair_id", F.when(F.length(F.trim("prompt")) >= 20, F.col("prompt")).otherwise(F.concat(F.lit("Write about: "), head)).alias("counterfactual_prompt"))
 
 
+@query()
+def P19_all_counterfactual_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt, or a template around the first 50 words of the output, of every pair that has both, in any script."""
+    rows = table(spark, sf_dir, "level_results", "pair_id", "prompt", "output").filter("prompt is not null and output is not null")
+    head = F.array_join(F.slice(text.unicode_split(F.col("output")), 1, 50), " ")
+    return rows.select("pair_id", F.when(F.length(F.trim("prompt")) >= 20, F.col("prompt")).otherwise(F.concat(F.lit("Write about: "), head)).alias("counterfactual_prompt"))
+
+
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item the texts of its levels in order; of repeated rows the first. At most one per level."""
     rows = table(spark, sf_dir, "level_results", *ITEM, "level", "pair_id", "prompt", "output").filter("level is not null")

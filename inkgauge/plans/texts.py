@@ -21,10 +21,17 @@ def _pairs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 @query(r"""SELECT pair_id, CAST(len(regexp_extract_all(output, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS INTEGER) AS tokens FROM level_results WHERE output IS NOT NULL AND regexp_full_match(output, '[\x00-\x7f]*')""")
 def T01_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part that the SQL defines: ASCII outputs only. T01_all_token_counts has every output."""
     rows = _pairs(spark, sf_dir).filter(F.col("output").isNotNull() & F.col("output").rlike(r"\A[\x00-\x7f]*\z"))
     return rows.select("pair_id", text.token_count(F.col("output")).alias("tokens"))
 
 
+@query()
+def T01_all_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every output that is not null, in any script."""
+    return _pairs(spark, sf_dir).filter("output is not null").select("pair_id", text.unicode_token_count(F.col("output")).alias("tokens"))
+
+
 @query()
 def T02_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", F.sha2(surface(F.col("output")), 256).alias("surface_sha256"))

@@ -1,0 +1,34 @@
+import re
+
+from inkgauge.plans import scoring, texts
+
+OUTPUTS = [
+    "Plain text, 3 words.", "Der Fluß überquert die „Brücke“ – nicht weit.", "L’été : « oui » !", "¿Qué más? Ñandú…", "“Quoted” it’s", "中文 文本。　次",
+    "a² b\u0085c\x1cd\x1fe\x0bf", "é ١٢ 𝄞𝒜 👍🏽", "", " \n \n ", "\n" + "wörter und " * 60, None,
+]
+
+
+def frame(spark, folder, prompt):
+    rows = [(i, prompt, o) for i, o in enumerate(OUTPUTS)]
+    spark.createDataFrame(rows, "pair_id bigint, prompt string, output string").write.parquet(f"{folder}/level_results.parquet")
+    return str(folder)
+
+
+def test_tokens_of_every_script_as_in_python(spark, tmp_path):
+    got = {r.pair_id: r.tokens for r in texts.QUERIES["T01_all_token_counts"](spark, frame(spark, tmp_path, "p")).collect()}
+    assert got == {i: len(re.findall(r"\w+|[^\w\s]", o)) for i, o in enumerate(OUTPUTS) if o is not None}
+
+
+def test_counterfactual_prompts_of_every_script(spark, tmp_path):
+    query = scoring.QUERIES["P19_all_counterfactual_prompts"]
+    got = {r.pair_id: r.counterfactual_prompt for r in query(spark, frame(spark, tmp_path / "short", "kurz")).collect()}
+    assert got == {i: "Write about: " + " ".join(o.split()[:50]) for i, o in enumerate(OUTPUTS) if o is not None}
+    long = "Schreibe über die Brücke, bitte."
+    got = {r.pair_id: r.counterfactual_prompt for r in query(spark, frame(spark, tmp_path / "long", long)).collect()}
+    assert got == {i: long for i, o in enumerate(OUTPUTS) if o is not None}
+
+
+def test_the_ascii_part_is_unchanged(spark, sf_dir):
+    for module, part, whole in ((texts, "T01_token_counts", "T01_all_token_counts"), (scoring, "P19_counterfactual_prompts", "P19_all_counterfactual_prompts")):
+        few, every = module.QUERIES[part](spark, sf_dir).collect(), set(module.QUERIES[whole](spark, sf_dir).collect())
+        assert len(few) < len(every) and set(few) <= every
