@@ -8,7 +8,8 @@ about two in SPAN - BLOCK characters are kept, and only they are shuffled.
 2. Anchors of one document are dropped. A section that two documents hold is shared as a whole: the inside of long
    repeats is settled by aggregation.
 3. An anchor that comes with different sections is where a repeat begins or ends. For one copy of each such section every
-   stretch of SPAN characters is looked up by the hashes of the anchor and of the stretch itself.
+   stretch of SPAN characters is looked up by the hashes of the anchor and of the stretch itself. What is found holds for
+   each place where its document has the section.
 4. Shared sections and stretches are joined to maximal ones per document.
 
 Copies are never paired: each step asks whether a hash has more than one document, which is a minimum and a maximum. Keys
@@ -37,7 +38,7 @@ CHUNK = 1 << 19
 _ROWS = 50_000
 
 _SECTIONS = row(anchor="long", section="long", doc_id="long", low="int", more="int", back="int")
-_STRETCHES = row(anchor="long", stretch="long", doc_id="long", other="long", start="int")
+_STRETCHES = row(anchor="long", stretch="long", doc_id="long", other="long", low="int", start="int")
 _U = np.uint64
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in _BASE)
@@ -162,7 +163,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes = _rolling(codes, SPAN, 1)
                 block = _rolling(codes[back : back + BLOCK], BLOCK, 0)
                 n = len(hashes)
-                columns = (np.repeat(block.view(np.int64), n), hashes.view(np.int64), np.full(n, doc), np.full(n, s["other"]))
+                columns = (np.repeat(block.view(np.int64), n), hashes.view(np.int64), np.full(n, doc), np.full(n, s["other"]), np.full(n, low, dtype=np.int32))
                 for name, values in zip(_STRETCHES.names, (*columns, np.arange(low, low + n, dtype=np.int32))):
                     found[name].append(values)
                 size += n
@@ -199,9 +200,9 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     known = materialized(sections.join(anchors, "anchor"), "known")
     mixed = known.filter("not single")
     speakers = mixed.groupBy("anchor", "section").agg(
-        F.min(F.struct("doc_id", "low", "more", "back")).alias("s"), F.max("doc_id").alias("other")
+        F.min(F.struct("doc_id", "low", "more", "back")).alias("s"), F.max("doc_id").alias("other"), F.count("*").alias("places")
     )
-    speakers = materialized(speakers.select("anchor", "section", "s.*", "other"), "speakers")
+    speakers = materialized(speakers.select("anchor", "section", "s.*", "other", "places"), "speakers")
     # Sections of several documents are shared as they are, but others may match a part of them: one copy speaks for all.
     several = speakers.filter("doc_id <> other").select("anchor", "section")
     whole = known.filter("single").unionByName(mixed.join(several, ["anchor", "section"], "left_semi"))
@@ -210,8 +211,15 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     twice = stretches.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("a"), F.max("other").alias("b"))
     twice = twice.filter("a <> b").select("anchor", "stretch")
     hits = stretches.filter("doc_id = other").join(twice, ["anchor", "stretch"], "left_semi")
+    hits = hits.select("anchor", "doc_id", "low", "start")
+    # The same section at other places of its one document.
+    again = speakers.filter("doc_id = other and places > 1").select("anchor", "section", F.col("low").alias("spoken"))
+    again = mixed.join(again, ["anchor", "section"]).filter("low <> spoken")
+    again = again.select("anchor", "doc_id", F.col("spoken").alias("low"), (F.col("low") - F.col("spoken")).alias("shift"))
+    moved = hits.join(again, ["anchor", "doc_id", "low"]).select("doc_id", (F.col("start") + F.col("shift")).alias("start"))
+    starts = hits.select("doc_id", "start").unionByName(moved)
     parts = whole.select("doc_id", "low", (F.col("low") + F.col("more") + SPAN).alias("high"))
-    return joined_stretches(parts.unionByName(hits.select("doc_id", F.col("start").alias("low"), (F.col("start") + SPAN).alias("high"))))
+    return joined_stretches(parts.unionByName(starts.select("doc_id", F.col("start").alias("low"), (F.col("start") + SPAN).alias("high"))))
 
 
 def shared_share(documents: DataFrame, spans: DataFrame) -> DataFrame:
