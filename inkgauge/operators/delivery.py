@@ -24,6 +24,8 @@ from inkgauge.session import materialized
 BLOCK = 1 << 16
 #: A key with more rows than this and than a HOT-th of all rows is hot; there are fewer than HOT of them.
 HOT, HOT_ROWS = 512, 20_000
+#: Batches, by received_at, in which a whole table is absorbed.
+BATCHES = 4
 
 
 def canonical_json(text: str) -> str | None:
@@ -132,6 +134,11 @@ def ranges(numbers: DataFrame) -> DataFrame:
     cells = cells.withColumn("block", F.floor(F.col("number") / BLOCK))
     cells = cells.withColumn("island", F.col("number") - F.row_number().over(by_block))
     islands = cells.groupBy("producer", "block", "island").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    return _over_edges(islands)
+
+
+def _over_edges(islands: DataFrame) -> DataFrame:
+    """(producer, low, high) of islands, disjoint and maximal within blocks, merged over block edges."""
     inner = (F.col("low") % BLOCK != 0) & (F.col("high") % BLOCK != BLOCK - 1)
     edge = islands.filter(~inner)
     by_producer = W.partitionBy("producer").orderBy("low")
@@ -141,6 +148,18 @@ def ranges(numbers: DataFrame) -> DataFrame:
     return islands.filter(inner).select("producer", "low", "high").unionByName(merged.select("producer", "low", "high"))
 
 
+def joined_ranges(parts: DataFrame) -> DataFrame:
+    """Disjoint maximal ranges of parts (producer, low, high), which may overlap or touch; they are cut at block edges first."""
+    blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK)))
+    cut = parts.select("producer", "low", "high", blocks.alias("block"))
+    cut = cut.withColumns({"low": F.greatest("low", F.col("block") * BLOCK), "high": F.least("high", F.col("block") * BLOCK + BLOCK - 1)})
+    order = W.partitionBy("producer", "block").orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
+    cut = cut.withColumn("new", F.coalesce(F.col("low") > reach + 1, F.lit(True)).cast("long"))
+    cut = cut.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return _over_edges(cut.groupBy("producer", "block", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+
+
 def covered(numbers: DataFrame, seen: DataFrame) -> DataFrame:
     """The rows of numbers (producer, number, ...) that lie in a range of seen (producer, low, high).
 
@@ -168,12 +187,31 @@ def absorb(batch: DataFrame, seen: DataFrame, exact: DataFrame) -> tuple[DataFra
     fresh = numbered.join(old.select("delivery_id"), "delivery_id", "left_anti")
     asked = once.filter(F.col("producer").isNull()).unionByName(old)
     asked = asked.join(exact.select("identifier", "digest"), ["identifier", "digest"], "left_anti")
-    new = fresh.unionByName(asked)
-    all_numbers = seen.select("producer", F.explode(F.sequence("low", "high")).alias("number")).unionByName(
-        new.filter(F.col("producer").isNotNull()).select("producer", "number")
-    )
+    new = materialized(fresh.unionByName(asked), "accepted")
     return (
         new.unionByName(nameless),
-        ranges(all_numbers),
+        joined_ranges(seen.select("producer", "low", "high").unionByName(ranges(new))),
         exact.select("identifier", "digest").unionByName(new.select("identifier", "digest")),
     )
+
+
+def surplus_by_ranges(rows: DataFrame) -> DataFrame:
+    """surplus() by absorb(): the rows are taken in BATCHES in the order of received_at (null last) on an empty state, and what
+    has an identifier and is not accepted is surplus.
+    """
+    spark = rows.sparkSession
+    known = materialized(messages(rows), "messages")
+    shares = [k / BATCHES for k in range(1, BATCHES)]
+    cuts = sorted(set(known.agg(F.percentile_approx("received_at", shares)).first()[0] or []))
+    at = F.col("received_at")
+    edges = list(zip([None, *cuts], [*cuts, None]))
+    seen = spark.createDataFrame([], "producer string, low bigint, high bigint")
+    exact = spark.createDataFrame([], "identifier string, digest string")
+    kept = spark.createDataFrame([], known.select("delivery_id").schema)
+    for after, until in edges:
+        batch = known if after is None else known.filter((at > F.lit(after)) | at.isNull())
+        batch = batch if until is None else batch.filter(at <= F.lit(until))
+        new, seen, exact = absorb(batch, seen, exact)
+        seen = materialized(seen, "seen")
+        kept = kept.unionByName(new.filter(F.col("identifier").isNotNull()).select("delivery_id"))
+    return known.filter(F.col("identifier").isNotNull()).select("delivery_id").join(kept, "delivery_id", "left_anti")

@@ -10,7 +10,7 @@ _COLUMNS = ("delivery_id", "item_id", "raw_value", "received_at")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.surplus(table(spark, sf_dir, "jsonl_rows", *_COLUMNS))
+    return delivery.surplus_by_ranges(table(spark, sf_dir, "jsonl_rows", *_COLUMNS))
 
 
 def p3_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
