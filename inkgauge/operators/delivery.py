@@ -1,9 +1,15 @@
 """Exactly one copy of each message of an at-least-once stream.
 
-An identifier that ends in digits is a producer (all before the digits, and their number) and a sequence number. Per
-producer the seen numbers are kept as disjoint ranges: a number outside them is accepted once, and then it is covered.
-What ranges cannot decide is looked up by its exact key (identifier, content): identifiers without a number, and numbers
-that came with more than one content.
+An identifier that ends in a sequence number of fixed width is a producer and a number. Per producer the seen numbers are
+kept as disjoint ranges, and a batch is judged by them:
+
+- a number outside the ranges is accepted once, without any lookup, and is covered from then on;
+- a number inside them has been seen, but another content is another message, which ranges cannot tell: such deliveries,
+  and numbers that come with several contents in one batch, are looked up among the accepted messages of their number;
+- other identifiers are malformed and looked up by their exact key (identifier, content).
+
+Ranges are kept cut at the borders of blocks of BLOCK numbers. Placing numbers in ranges and merging ranges are sorts
+within (producer, block), so no step lists the numbers of a range and no producer is one group.
 """
 
 from __future__ import annotations
@@ -11,21 +17,44 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkgauge.functions.types import row
 from inkgauge.session import materialized
 
-#: Numbers are cut into blocks of this many for range joins and merges, so that no producer is one group.
+#: Numbers of a block. A group of (producer, block) has at most so many numbers and half as many ranges.
 BLOCK = 1 << 16
-#: A key with more rows than this and than a HOT-th of all rows is hot; there are fewer than HOT of them.
-HOT, HOT_ROWS = 512, 20_000
+#: Digits of a sequence number; identifiers that end in fewer are malformed.
+DIGITS = "9,18"
 #: Batches, by received_at, in which a whole table is absorbed.
-BATCHES = 4
+BATCHES = 2
+
+_SEEN = "producer string, block bigint, low bigint, high bigint"
+_KEYS = "identifier string, digest string"
+_SINK = "producer string, number bigint, digest string"
+
+
+@dataclass(frozen=True)
+class State:
+    """What absorb() knows: seen ranges, exact keys of malformed identifiers, and the accepted messages that have numbers.
+
+    The last is the stream's own output and is only read where a covered number comes again; what has to be kept besides
+    are the ranges and the keys.
+    """
+
+    seen: DataFrame
+    keys: DataFrame
+    sink: DataFrame
+
+
+def empty_state(spark: SparkSession) -> State:
+    return State(*(spark.createDataFrame([], schema) for schema in (_SEEN, _KEYS, _SINK)))
 
 
 def canonical_json(text: str) -> str | None:
@@ -66,8 +95,8 @@ def messages(rows: DataFrame) -> DataFrame:
     """
     out = rows.select("delivery_id", "received_at", _messages("item_id", "raw_value").alias("m"))
     out = out.select("delivery_id", "received_at", "m.identifier", F.coalesce("m.digest", F.lit("")).alias("digest"))
-    digits = F.regexp_extract("identifier", r"([0-9]{1,18})$", 1)
-    stem = F.regexp_extract("identifier", r"^(?s)(.*?)[0-9]{1,18}$", 1)
+    digits = F.regexp_extract("identifier", rf"([0-9]{{{DIGITS}}})$", 1)
+    stem = F.regexp_extract("identifier", rf"^(?s)(.*?)[0-9]{{{DIGITS}}}$", 1)
     return out.withColumns(
         {
             "producer": F.when(digits != "", F.concat(stem, F.lit("#"), F.length(digits))),
@@ -80,138 +109,115 @@ def _first() -> Column:
     return F.min(F.struct(F.col("received_at").isNull().alias("late"), "received_at", "delivery_id"))["delivery_id"]
 
 
-def accepted(known: DataFrame) -> DataFrame:
-    """One row per message of messages(): identifier, digest, n deliveries, keep (the copy kept), by_range.
+def placed(numbers: DataFrame, seen: DataFrame) -> DataFrame:
+    """numbers (producer, number, ...) with block and old, whether the number lies in a range of seen.
 
-    Kept is the earliest received_at (null last), then the smallest delivery_id.
+    The greatest start of a range at or below a number decides: one sort of numbers and starts within (producer, block).
     """
-    known = known.filter(F.col("identifier").isNotNull())
-    per_number = known.filter(F.col("producer").isNotNull()).groupBy("producer", "number", "identifier")
-    per_number = per_number.agg(
-        F.count("*").alias("n"), F.min("digest").alias("digest"), F.max("digest").alias("other"), _first().alias("keep")
-    )
-    per_number = materialized(per_number, "numbers")
-    plain = per_number.filter(F.col("digest") == F.col("other"))
-    doubtful = per_number.filter(F.col("digest") != F.col("other")).select("identifier")
-    exact = known.filter(F.col("producer").isNull()).unionByName(known.join(doubtful, "identifier", "left_semi"))
-    exact = exact.groupBy("identifier", "digest").agg(F.count("*").alias("n"), _first().alias("keep"))
-    columns = ["identifier", "digest", "n", "keep"]
-    return plain.select(*columns, F.lit(True).alias("by_range")).unionByName(
-        exact.select(*columns, F.lit(False).alias("by_range"))
-    )
-
-
-def surplus(rows: DataFrame) -> DataFrame:
-    """delivery_id of every delivery beyond the one kept of its message.
-
-    rows: delivery_id, item_id, raw_value, received_at; other columns are ignored. Rows without an identifier, and an
-    empty table, give nothing. A message delivered very often is no hot join key: messages with more than HOT_ROWS copies
-    and more than a HOT-th of all repeated rows, fewer than HOT, are broadcast, and only the others are shuffled.
+    block = F.floor(F.col("number") / BLOCK).cast("long")
+    starts = seen.select("producer", "block", F.col("low").alias("number"), F.col("high").alias("_reach"))
+    rows = numbers.withColumn("block", block).unionByName(starts.withColumn("_start", F.lit(True)), allowMissingColumns=True)
+    order = W.partitionBy("producer", "block").orderBy("number", F.asc_nulls_last("_start"))
+    reach = F.last("_reach", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("old", F.coalesce(reach >= F.col("number"), F.lit(False))).filter("_start is null")
+    return rows.drop("_reach", "_start")
+
+
+def islands(numbers: DataFrame) -> DataFrame:
+    """(producer, block, low, high): maximal runs within blocks of the different numbers (producer, number); null producers
+    have none.
     """
-    known = materialized(messages(rows), "messages")
-    again = materialized(accepted(known).filter("n > 1").drop("by_range"), "repeated")
-    total = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") > max(HOT_ROWS, total // HOT)
-    keys = ["identifier", "digest"]
-    slim = known.select("delivery_id", *keys).filter(F.col("identifier").isNotNull())
-    often = F.broadcast(again.filter(hot).select(*keys, "keep"))
-    seldom = again.filter(~hot).select(*keys, "keep")
-    marked = slim.join(often, keys, "left")
-    out = marked.filter("keep is not null").unionByName(
-        marked.filter("keep is null").drop("keep").join(seldom, keys)
-    )
-    return out.filter("delivery_id <> keep").select("delivery_id")
+    cells = numbers.filter(F.col("producer").isNotNull()).select("producer", "number").distinct()
+    cells = cells.withColumn("block", F.floor(F.col("number") / BLOCK).cast("long"))
+    first = F.col("number") - F.row_number().over(W.partitionBy("producer", "block").orderBy("number"))
+    runs = cells.withColumn("_run", first).groupBy("producer", "block", "_run")
+    return runs.agg(F.min("number").alias("low"), F.max("number").alias("high")).drop("_run")
 
 
-def ranges(numbers: DataFrame) -> DataFrame:
-    """Disjoint maximal ranges (producer, low, high) of the distinct producer and number in numbers.
+def merged(parts: DataFrame) -> DataFrame:
+    """(producer, block, low, high) of disjoint parts, with those that touch within a block made one. Only ends are read."""
+    order = W.partitionBy("producer", "block").orderBy("low")
+    new = F.coalesce(F.lag("high").over(order) + 1 != F.col("low"), F.lit(True)).cast("long")
+    runs = parts.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy("producer", "block", "_run")
+    return runs.agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_run")
 
-    Islands are found within blocks of BLOCK numbers and then merged over block edges, so a producer with any number of
-    messages is never one group: the second step sees at most two rows per block.
-    """
-    by_block = W.partitionBy("producer", "block").orderBy("number")
-    cells = numbers.filter(F.col("producer").isNotNull()).select("producer", "number").distinct()
-    cells = cells.withColumn("block", F.floor(F.col("number") / BLOCK))
-    cells = cells.withColumn("island", F.col("number") - F.row_number().over(by_block))
-    islands = cells.groupBy("producer", "block", "island").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    return _over_edges(islands)
 
+def ranges(seen: DataFrame) -> DataFrame:
+    """Disjoint maximal ranges (producer, low, high) of seen, over the borders of blocks.
 
-def _over_edges(islands: DataFrame) -> DataFrame:
-    """(producer, low, high) of islands, disjoint and maximal within blocks, merged over block edges."""
-    inner = (F.col("low") % BLOCK != 0) & (F.col("high") % BLOCK != BLOCK - 1)
-    edge = islands.filter(~inner)
-    by_producer = W.partitionBy("producer").orderBy("low")
-    starts = F.coalesce(F.lag("high").over(by_producer) + 1 != F.col("low"), F.lit(True)).cast("long")
-    edge = edge.withColumn("start", starts).withColumn("run", F.sum("start").over(by_producer))
-    merged = edge.groupBy("producer", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return islands.filter(inner).select("producer", "low", "high").unionByName(merged.select("producer", "low", "high"))
-
-
-def joined_ranges(parts: DataFrame) -> DataFrame:
-    """Disjoint maximal ranges of parts (producer, low, high), which may overlap or touch; they are cut at block edges first."""
-    blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK)))
-    cut = parts.select("producer", "low", "high", blocks.alias("block"))
-    cut = cut.withColumns({"low": F.greatest("low", F.col("block") * BLOCK), "high": F.least("high", F.col("block") * BLOCK + BLOCK - 1)})
-    order = W.partitionBy("producer", "block").orderBy("low", "high")
-    reach = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
-    cut = cut.withColumn("new", F.coalesce(F.col("low") > reach + 1, F.lit(True)).cast("long"))
-    cut = cut.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return _over_edges(cut.groupBy("producer", "block", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")))
-
-
-def covered(numbers: DataFrame, seen: DataFrame) -> DataFrame:
-    """The rows of numbers (producer, number, ...) that lie in a range of seen (producer, low, high).
-
-    The join is an equi-join on producer and block: each range is cut at block edges.
+    A whole inner range stays as it is; only those that reach a border, at most two of a block, are sorted per producer.
     """
-    cut = seen.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK))))
-    cut = cut.withColumnsRenamed({"producer": "_p", "block": "_b"})
-    left = numbers.withColumn("_block", F.floor(F.col("number") / BLOCK))
-    on = (left.producer == cut._p) & (left._block == cut._b) & left.number.between(cut.low, cut.high)
-    return left.join(cut, on, "left_semi").drop("_block")
+    inner = (F.col("low") % BLOCK != 0) & (F.col("high") % BLOCK != BLOCK - 1)
+    order = W.partitionBy("producer").orderBy("low")
+    new = F.coalesce(F.lag("high").over(order) + 1 != F.col("low"), F.lit(True)).cast("long")
+    edge = seen.filter(~inner).withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    edge = edge.groupBy("producer", "_run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return seen.filter(inner).select("producer", "low", "high").unionByName(edge.select("producer", "low", "high"))
 
 
-def absorb(batch: DataFrame, seen: DataFrame, exact: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One batch of messages() against the state: (accepted rows, new ranges, new exact keys).
+def absorb(batch: DataFrame, state: State) -> tuple[DataFrame, State]:
+    """One batch of messages() against the state: (accepted, new state).
 
-    seen: producer, low, high. exact: identifier, digest of every message that was accepted. An uncovered number is
-    accepted once per content without a lookup; covered numbers and identifiers without a number are looked up by key.
-    Within the batch the copy kept is that of accepted(). Rows without identifier are always accepted.
+    accepted: delivery_id, identifier, digest, producer, number, by_range, one row for each new message; by_range is true
+    where the ranges alone have decided. Of copies in one batch the earliest received_at (null last) is accepted, then the
+    smallest delivery_id. Rows without an identifier are no messages: they are not in accepted, and they are never surplus.
     """
-    nameless = batch.filter(F.col("identifier").isNull())
-    keep = accepted(batch).select(F.col("keep").alias("delivery_id"))
-    once = batch.filter(F.col("identifier").isNotNull()).join(keep, "delivery_id", "left_semi")
-    numbered = once.filter(F.col("producer").isNotNull())
-    old = covered(numbered, seen)
-    fresh = numbered.join(old.select("delivery_id"), "delivery_id", "left_anti")
-    asked = once.filter(F.col("producer").isNull()).unionByName(old)
-    asked = asked.join(exact.select("identifier", "digest"), ["identifier", "digest"], "left_anti")
-    new = materialized(fresh.unionByName(asked), "accepted")
-    return (
-        new.unionByName(nameless),
-        joined_ranges(seen.select("producer", "low", "high").unionByName(ranges(new))),
-        exact.select("identifier", "digest").unionByName(new.select("identifier", "digest")),
+    named = batch.filter(F.col("identifier").isNotNull())
+    counted = named.filter(F.col("producer").isNotNull()).groupBy("producer", "number").agg(
+        F.min("digest").alias("digest"), F.max("digest").alias("other"), _first().alias("delivery_id")
+    )
+    numbers = materialized(placed(counted, state.seen), "numbers")
+    one = F.col("digest") == F.col("other")
+    columns = ["producer", "number", "digest", "delivery_id"]
+    fresh = numbers.filter(~F.col("old") & one).select(*columns)
+    # Numbers with several contents in this batch, few: each content is a message of its own.
+    several = named.join(numbers.filter(~one).select("producer", "number"), ["producer", "number"], "left_semi")
+    several = several.groupBy("producer", "number", "digest").agg(_first().alias("delivery_id"))
+    asked = numbers.filter(F.col("old") & one).select(*columns).unionByName(several.select(*columns))
+    asked = asked.join(state.sink, ["producer", "number", "digest"], "left_anti")
+    malformed = named.filter(F.col("producer").isNull()).groupBy("identifier", "digest").agg(_first().alias("delivery_id"))
+    malformed = malformed.join(state.keys, ["identifier", "digest"], "left_anti")
+    digits = F.element_at(F.split("producer", "#"), -1).cast("int")
+    stem = F.expr("left(producer, length(producer) - length(element_at(split(producer, '#'), -1)) - 1)")
+    identifier = F.concat(stem, F.lpad(F.col("number").cast("string"), digits, "0"))
+    by_number = fresh.withColumn("by_range", F.lit(True)).unionByName(asked.withColumn("by_range", F.lit(False)))
+    new = by_number.withColumn("identifier", identifier).unionByName(malformed.withColumn("by_range", F.lit(False)), allowMissingColumns=True)
+    new = materialized(new, "accepted")
+    ours = new.filter("producer is not null")
+    seen = merged(state.seen.unionByName(islands(numbers.filter(~F.col("old")))))
+    return new, State(
+        materialized(seen, "seen"),
+        state.keys.unionByName(new.filter("producer is null").select("identifier", "digest")),
+        state.sink.unionByName(ours.select("producer", "number", "digest")),
     )
 
 
-def surplus_by_ranges(rows: DataFrame) -> DataFrame:
-    """surplus() by absorb(): the rows are taken in BATCHES in the order of received_at (null last) on an empty state, and what
-    has an identifier and is not accepted is surplus.
+def absorbed(known: DataFrame, batches: int | None = None) -> tuple[DataFrame, State]:
+    """(accepted, state) of messages() taken in batches in the order of received_at (null last) on an empty state.
+
+    Batches have about equal sizes; deliveries of one time share a batch.
     """
-    spark = rows.sparkSession
-    known = materialized(messages(rows), "messages")
-    shares = [k / BATCHES for k in range(1, BATCHES)]
-    cuts = sorted(set(known.agg(F.percentile_approx("received_at", shares)).first()[0] or []))
+    batches = BATCHES if batches is None else batches
+    state = empty_state(known.sparkSession)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(known.agg(F.percentile_approx("received_at", shares)).first()[0] or [])) if shares else []
     at = F.col("received_at")
-    edges = list(zip([None, *cuts], [*cuts, None]))
-    seen = spark.createDataFrame([], "producer string, low bigint, high bigint")
-    exact = spark.createDataFrame([], "identifier string, digest string")
-    kept = spark.createDataFrame([], known.select("delivery_id").schema)
-    for after, until in edges:
+    new = []
+    for after, until in zip([None, *cuts], [*cuts, None]):
         batch = known if after is None else known.filter((at > F.lit(after)) | at.isNull())
         batch = batch if until is None else batch.filter(at <= F.lit(until))
-        new, seen, exact = absorb(batch, seen, exact)
-        seen = materialized(seen, "seen")
-        kept = kept.unionByName(new.filter(F.col("identifier").isNotNull()).select("delivery_id"))
-    return known.filter(F.col("identifier").isNotNull()).select("delivery_id").join(kept, "delivery_id", "left_anti")
+        found, state = absorb(batch, state)
+        new.append(found)
+    return reduce(DataFrame.unionByName, new), state
+
+
+def surplus(rows: DataFrame, batches: int | None = None) -> DataFrame:
+    """delivery_id of every delivery that has an identifier and is not accepted by absorb().
+
+    rows: delivery_id, item_id, raw_value, received_at; other columns are ignored. Rows without an identifier, and an
+    empty table, give nothing. Copies are counted before they are shuffled and surplus rows are found by their unique
+    delivery_id, so a message that is delivered very often is no hot key.
+    """
+    known = materialized(messages(rows), "messages")
+    accepted, _ = absorbed(known, batches)
+    return known.filter(F.col("identifier").isNotNull()).select("delivery_id").join(accepted.select("delivery_id"), "delivery_id", "left_anti")

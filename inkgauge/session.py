@@ -35,28 +35,24 @@ def build_session(master: str | None = None, app: str = "inkgauge", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where the session names one.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only a local session, as in tests on one machine, may leave it unset; a temporary folder is made and set then.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkgauge-"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet into the shared folder and read back.
 
     Unlike a checkpoint, the table keeps column pruning, filter pushdown and a size that the optimizer can see.
-    The files are removed when the driver's Python ends.
+    The files are removed by cleared(), at the latest when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkgauge-{_RUN}/{name}-{uuid.uuid4().hex}"
@@ -85,12 +81,24 @@ def spread(df: DataFrame, size: int | None = None) -> DataFrame:
     return df.repartition(cores) if small else df
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def cleared(keep: int = 0) -> int:
+    """Removes the tables of materialized() but the first keep, and returns how many are left.
+
+    A long session calls it when it has taken the results of a query: mark = cleared(len(tables())), query, cleared(mark).
+    """
+    while len(_written) > keep:
+        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001 - the session has ended already
-            return
+            continue
+    return len(_written)
+
+
+def tables() -> list[str]:
+    """Paths of the tables of materialized() that have not been removed."""
+    return [path for _, path in _written]
+
+
+atexit.register(cleared)

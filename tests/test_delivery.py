@@ -16,13 +16,13 @@ def surplus(spark, rows):
 
 
 def test_the_earliest_copy_is_kept(spark):
-    a, b = '{"id":"m-001","x":1}', '{ "x": 1, "id": "m-001" }'
-    rows = [(1, "m-001", a, None), (2, " m-001 ", b, at(2)), (3, "m-001", a, at(1)), (4, "m-001", a, at(1))]
+    a, b = '{"id":"m-000000001","x":1}', '{ "x": 1, "id": "m-000000001" }'
+    rows = [(1, "m-000000001", a, None), (2, " m-000000001 ", b, at(2)), (3, "m-000000001", a, at(1)), (4, "m-000000001", a, at(1))]
     assert surplus(spark, rows) == [1, 2, 4]
 
 
 def test_other_content_is_another_message(spark):
-    rows = [(1, "m-001", '{"x":1}', at(1)), (2, "m-001", '{"x":2}', at(0)), (3, "m-001", '{"x":1}', at(2)), (4, "m-01", '{"x":1}', at(3))]
+    rows = [(1, "m-000000001", '{"x":1}', at(1)), (2, "m-000000001", '{"x":2}', at(0)), (3, "m-000000001", '{"x":1}', at(2)), (4, "m-00000001", '{"x":1}', at(3))]
     assert surplus(spark, rows) == [3]
 
 
@@ -42,30 +42,7 @@ def test_empty_table(spark):
     assert surplus(spark, []) == []
 
 
-def test_hot_message(spark, monkeypatch):
-    monkeypatch.setattr(delivery, "HOT_ROWS", 10)
-    rows = [(i, "hot-1", '{"x":1}', at(i % 50)) for i in range(100)] + [(100 + i, f"s-{i // 2}", '{"x":1}', at(i % 2)) for i in range(40)]
+def test_hot_message(spark):
+    rows = [(i, "hot-000000001", '{"x":1}', at(i % 50)) for i in range(100)] + [(100 + i, f"s-{i // 2:09}", '{"x":1}', at(i % 2)) for i in range(40)]
     found = surplus(spark, rows)
     assert len(found) == 99 + 20 and 0 not in found
-
-
-def test_ranges_are_disjoint_and_maximal(spark):
-    numbers = [1, 2, 3, 5, 7, 8, delivery.BLOCK - 1, delivery.BLOCK, delivery.BLOCK + 1, 3 * delivery.BLOCK]
-    df = spark.createDataFrame([("p", n) for n in [*numbers, 2, 2]] + [("q", 4)], "producer string, number bigint")
-    got = sorted(tuple(r) for r in delivery.ranges(df).collect())
-    b = delivery.BLOCK
-    assert got == [("p", 1, 3), ("p", 5, 5), ("p", 7, 8), ("p", b - 1, b + 1), ("p", 3 * b, 3 * b), ("q", 4, 4)]
-
-
-def test_a_second_batch_accepts_only_what_is_new(spark):
-    def batch(rows):
-        return delivery.messages(spark.createDataFrame([(*r, "c", 1) for r in rows], SCHEMA))
-
-    seen = spark.createDataFrame([], "producer string, low bigint, high bigint")
-    exact = spark.createDataFrame([], "identifier string, digest string")
-    new, seen, exact = delivery.absorb(batch([(1, "m-1", '{"x":1}', at(1)), (2, "free", '{"x":1}', at(1))]), seen, exact)
-    assert sorted(r.delivery_id for r in new.collect()) == [1, 2]
-    second = [(3, "m-1", '{"x":1}', at(2)), (4, "m-1", '{"x":2}', at(2)), (5, "m-2", '{"x":1}', at(2)), (6, "free", '{"x":1}', at(3)), (7, None, None, None)]
-    new, seen, _ = delivery.absorb(batch(second), seen, exact)
-    assert sorted(r.delivery_id for r in new.collect()) == [4, 5, 7]
-    assert [(r.low, r.high) for r in seen.collect()] == [(1, 2)]

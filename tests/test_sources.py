@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
@@ -45,3 +46,23 @@ def test_monitors(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(folder)
         monitors.journal(spark, stream, "event_id", str(tmp_path / "journal"), str(tmp_path / name))
     assert spark.read.parquet(str(tmp_path / "journal")).count() == 12
+
+
+def test_written_tables_can_be_removed(spark):
+    from inkgauge import session
+
+    before = len(session.tables())
+    df = session.materialized(spark.range(3), "removed")
+    assert df.count() == 3 and len(session.tables()) == before + 1
+    path = Path(session.tables()[-1].removeprefix("file:"))
+    assert path.exists() and session.cleared(before) == before and not path.exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from inkgauge import session
+
+    sc = N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True))), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.shared_dir(N(sparkContext=sc, conf=N(get=lambda *_: None)))
