@@ -18,19 +18,15 @@ def copied(prompt: str, own: list[str]) -> bool:
     """True if own, the words_of() an answer, are prompt or the passage in it, but for case, spacing, an opening phrase or
     repetition.
 
-    After at most OPENING words of its own, SHARE of the words must lie in runs of SHINGLE words (of all words, if there
-    are fewer) that prompt has, and half of eight words spread over the second half must come from it at all. Answers of
-    fewer than 3 words are no copies.
+    After at most OPENING words of its own, at most half of all, SHARE of the words must lie in runs of SHINGLE words (of
+    all words, if there are fewer) that prompt has. Answers of fewer than 3 words are no copies.
     """
     if len(own) < 3:
         return False
-    folded = prompt.casefold()
-    spread = own[len(own) // 2 :: max(1, len(own) // 16)][:8]
-    if 2 * sum([w in folded for w in spread]) < len(spread):
-        return False
-    given = _WORD.findall(folded)
+    given = _WORD.findall(prompt.casefold())
     known = set(given)
-    if sum([w in known for w in own]) < 0.55 * len(own):
+    # Words that the prompt has at all: as many as the runs below must cover at least.
+    if sum([w in known for w in own]) < SHARE * max(len(own) / 2, len(own) - OPENING):
         return False
     n = min(SHINGLE, len(own))
     runs = set(zip(*(given[i:] for i in range(n))))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ from inkgauge.session import materialized
 ENDED = r"[.!?…。！？][\"'”’»›)\]*_`]*\s*$"
 #: Lengths are limits where this many unended outputs lie, and this many times what lies on lengths around.
 PILE, PILE_RATIO, AROUND = 8, 4.0, 12
+#: Characters at the end of an output in which its terminator, what closes after it, and residues are looked for.
+TAIL = 60
 #: A word is whole if this many outputs have it before their end.
 KNOWN = 2
 #: A source that leaves out the terminator of more than this share of its prose has no such habit to break.
@@ -38,6 +41,8 @@ _PAIRS = {")": "(", "}": "{", "]": "[", "”": "“", "»": "«", r"\]": r"\["}
 _TOGGLES = {"```", "**", "$$"}
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
 _RESIDUE = re.compile(r"�|(\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%[0-9A-F]?|&[a-zA-Z]{1,8}|&#\d*|\\|<[a-zA-Z/][^<>]*|[ÃÂâ]€?)$")
+#: A residue, before any white space.
+_LOOSE = r"�|(\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|%[0-9A-F]?|&[a-zA-Z]{1,8}|&#\d*|\\|<[a-zA-Z/][^<>]*|[ÃÂâ]€?)\s*$"
 _MARK = re.compile(r"^\s*([-–—•*·]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])(\s+|$)(.*)$")
 _SIGNED = re.compile(r"^\s*(—|–|--)\s*[^\W\d_].{0,80}$")
 _WORD = re.compile(r"\w+")
@@ -112,13 +117,12 @@ def ending(output: str, shape: str | None) -> tuple[str, str | None]:
     last = words[-1].lower() if words else None
     if not text:
         return "whole", None
-    if _RESIDUE.search(text[-40:]):
+    if _RESIDUE.search(text[-TAIL:]):
         return "cut", last
-    ended = re.search(ENDED, text[-20:])
+    ended = re.search(ENDED, text[-TAIL:])
     open_marks = open_structure(text)
     if ended:
-        hard = [m for m in open_marks if m in ("```", "\\begin", "\\[", "$$", "{")]
-        return ("cut" if hard else "whole"), last
+        return ("cut" if any(m in _HARD for m in open_marks) else "whole"), last
     lines = [x for x in text.split("\n") if x.strip()]
     tail = lines[-1]
     if re.search(r"(\\\]|\$\$|```|\\end\{\w+\})$", text) and not open_marks:
@@ -131,8 +135,8 @@ def ending(output: str, shape: str | None) -> tuple[str, str | None]:
         return "cut", last
     for delimiter in _DELIMITERS:
         spaced = delimiter.pattern == ","
-        rows = [x for x in lines[-8:-1] if _cells(x, delimiter) and not (spaced and ", " in x)]
-        if len(rows) >= min(2, len(lines) - 1) and rows and shape in ("table", None) and (shape == "table" or not spaced):
+        rows = [x for x in lines[:-1] if _cells(x, delimiter) and not (spaced and ", " in x)]
+        if len(rows) >= min(2, len(lines) - 1) and 2 * len(rows) >= len(lines) - 1 and rows and shape in ("table", None) and (shape == "table" or not spaced):
             counts = [_cells(x, delimiter) for x in rows]
             usual = max(set(counts), key=counts.count)
             if counts.count(usual) * 2 <= len(counts):
@@ -146,13 +150,8 @@ def ending(output: str, shape: str | None) -> tuple[str, str | None]:
     listed = item and sum(bool(_MARK.match(x)) for x in lines) >= 2
     if listed or shape == "list":
         body = (item.group(3) if item else tail).strip()
-        before = [x.strip() for x in lines[:-1] if x.strip()]
         if not body or body[-1] in ",;:/-(" or last in _FUNCTION and len(_WORD.findall(body)) > 1:
             return "cut", last
-        if re.search(r", \d{1,3}$", body) and sum(bool(re.search(r", \d{4}$", x)) for x in before) > 0:
-            return "cut", last
-        if sum("/" in x for x in before) > 0.8 * len(before) > 1 and "/" not in body:
-            return "cut", last
         return "doubt", last
     if shape == "table":
         return "doubt", last
@@ -178,29 +177,25 @@ def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def _count(text: Column, *marks: str) -> Column:
-    out = F.lit(0)
-    for mark in marks:
-        out = out + F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
-    return out
+#: Marks that an output with a proper end must close; the automaton reads every output that has one.
+_HARD = ("```", "\\begin", "\\[", "$$", "{")
 
 
 def suspects(rows: DataFrame) -> DataFrame:
-    """The rows whose output has text and no proper end, or hard structure that may be open."""
+    """The rows whose output the automaton may not pass as whole: all without a proper end, with residue or a hard mark.
+
+    Only what ending() finds whole at once is left out: texts with a terminator and neither residue nor a hard mark.
+    """
     out = F.col("output")
-    tail = F.substring(out, -60, 60)
-    unended = ~tail.rlike(ENDED)
-    # The automaton decides; these counts only leave out what it would pass as whole.
-    fences = (_count(out, "```") / 3) % 2 != 0
-    begun = _count(out, "\\begin{") / 7 > _count(out, "\\end{") / 5
-    formulas = out.contains("\\[") | out.contains("$$") | out.contains("{")
-    return rows.filter(F.trim(out) != "").filter(unended | fences | begun | formulas)
+    tail = F.substring(out, -TAIL, TAIL)
+    hard = reduce(Column.__or__, [out.contains(mark) for mark in _HARD])
+    return rows.filter(F.trim(out) != "").filter(~tail.rlike(ENDED) | tail.rlike(_LOOSE) | hard)
 
 
 def limits(rows: DataFrame) -> DataFrame:
     """(n_chars): lengths at which outputs without a proper end pile up, over all rows (output)."""
     lengths = rows.filter(F.trim("output") != "").select(
-        F.length("output").alias("n_chars"), (~F.substring("output", -60, 60).rlike(ENDED)).cast("int").alias("open")
+        F.length("output").alias("n_chars"), (~F.substring("output", -TAIL, TAIL).rlike(ENDED)).cast("int").alias("open")
     )
     counts = materialized(lengths.groupBy("n_chars").agg(F.sum("open").alias("open")).filter("open > 0"), "lengths")
     near = counts.withColumn("n_chars", F.explode(F.sequence(F.col("n_chars") - AROUND, F.col("n_chars") + AROUND)))

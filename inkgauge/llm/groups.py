@@ -2,13 +2,16 @@
 
 Related rows form connected components over their sources. Components are found by random-mate contraction: in each round
 every vertex draws a coin; a vertex that drew heads and has a neighbour that drew tails is collapsed into the least such
-neighbour, edges are rewritten, and loops and repeats vanish. When no edge is left, the moves are unwound from the last
-round to the first, so that each vertex learns where it ended. A round is a handful of joins and aggregations on keys;
-nothing about vertices or edges reaches the driver but the number of edges left.
+neighbour, edges are rewritten, and loops and repeats vanish. When no edge is left, each vertex has moved at most once, and
+the moves are unwound: a pass lets every vertex follow the move of the vertex it has come to, so k passes reach over 2^k
+rounds. A round is a handful of joins and aggregations on keys; nothing about vertices or edges reaches the driver but
+whether edges are left.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,34 +51,35 @@ def contract(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     live = edges.filter(a < b).select("a", "b").unionByName(edges.filter(a > b).select(b.alias("a"), a.alias("b")))
     live = materialized(live.distinct(), "edges")
+    if live.isEmpty():
+        return live.select(a.alias("vertex"), b.alias("root"))
     moves: list[DataFrame] = []
     while not live.isEmpty():
         if len(moves) == max_rounds:
             raise RuntimeError("contraction did not end")
-        n = len(moves)
-        both = live.unionByName(live.select(b.alias("a"), a.alias("b")))
-        mates = both.filter(_coin(a, n) & ~_coin(b, n)).groupBy(a.alias("child")).agg(F.min("b").alias("parent"))
-        mates = materialized(mates, f"moves{n}")
+        mates = _mates(live, len(moves))
         moves.append(mates)
         to_a, to_b = (mates.select(F.col("child").alias(x), F.col("parent").alias(f"{x}_to")) for x in ("a", "b"))
         moved = live.join(to_a, "a", "left").join(to_b, "b", "left")
         moved = moved.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).filter("a <> b")
         live = materialized(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    spark = edges.sparkSession
-    # Unwind: a vertex that moved in round n follows what became of its parent in later rounds.
-    found: DataFrame | None = None
-    for n in reversed(range(len(moves))):
-        step = moves[n].select(F.col("child").alias("vertex"), F.col("parent").alias("root"))
-        if found is not None:
-            later = found.select(F.col("vertex").alias("root"), F.col("root").alias("_end"))
-            step = step.join(later, "root", "left").select("vertex", F.coalesce("_end", "root").alias("root"))
-            step = found.unionByName(step)
-        found = materialized(step, "roots")
-    if found is None:
-        return spark.createDataFrame([], "vertex string, root string")
+    # The edges of each round are written and coins are hashes, so moves are the same when they are taken again.
+    found = materialized(reduce(DataFrame.unionByName, moves).select(F.col("child").alias("vertex"), F.col("parent").alias("root")), "moves")
+    reach = 1
+    while reach < len(moves):
+        later = found.select(F.col("vertex").alias("root"), F.col("root").alias("_end"))
+        found = materialized(found.join(later, "root", "left").select("vertex", F.coalesce("_end", "root").alias("root")), "roots")
+        reach *= 2
     return found.unionByName(found.select(F.col("root").alias("vertex"), "root").distinct())
 
 
+def _mates(live: DataFrame, round_no: int) -> DataFrame:
+    """(child, parent): the vertices of live (a, b) that drew heads and their least neighbour that drew tails."""
+    both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    heads = _coin(F.col("a"), round_no) & ~_coin(F.col("b"), round_no)
+    return both.filter(heads).groupBy(F.col("a").alias("child")).agg(F.min("b").alias("parent"))
+
+
 def related(rows: DataFrame, key: str) -> DataFrame:
     """rows with source, fingerprint and the component: root, group_key, n_sources.
 
