@@ -31,8 +31,8 @@ ENDED = r"[.!?…。！？][\"'”’»›)\]*_`]*\s*$"
 PILE, PILE_RATIO, AROUND = 8, 4.0, 12
 #: Characters at the end of an output in which its terminator, what closes after it, and residues are looked for.
 TAIL = 60
-#: A word is whole if this many outputs have it before their end.
-KNOWN = 2
+#: Words that are asked as a set in a filter; more are joined as a table.
+LITERAL = 20_000
 #: A source that leaves out the terminator of more than this share of its prose has no such habit to break.
 HABIT = 0.5
 
@@ -205,11 +205,19 @@ def limits(rows: DataFrame) -> DataFrame:
 
 
 def known_words(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(last_word) of asked that at least KNOWN outputs of rows have before their last word."""
+    """(last_word) of asked that at least two outputs of rows (pair_id, output) have before their last word.
+
+    Up to LITERAL asked words are a set in the filter; more are joined. Only asked words are counted.
+    """
+    asked = materialized(asked.select("last_word").filter("last_word is not null").distinct(), "asked")
     words = F.regexp_extract_all(F.lower("output"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    words = rows.select(F.array_distinct(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).alias("w"))
-    counts = words.select(F.explode("w").alias("last_word")).groupBy("last_word").count().filter(F.col("count") >= KNOWN)
-    return asked.select("last_word").distinct().join(counts, "last_word", "left_semi")
+    words = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    every = rows.select("pair_id", F.explode(words).alias("last_word"))
+    few = [r[0] for r in asked.limit(LITERAL + 1).collect()]
+    every = every.filter(F.col("last_word").isin(few)) if len(few) <= LITERAL else every.join(asked, "last_word", "left_semi")
+    # Two different outputs are enough, so no list of outputs is kept for a word.
+    seen = every.groupBy("last_word").agg(F.min("pair_id").alias("a"), F.max("pair_id").alias("b"))
+    return seen.filter("a <> b").select("last_word")
 
 
 def truncated(rows: DataFrame, routes: DataFrame) -> DataFrame:
@@ -229,7 +237,7 @@ def truncated(rows: DataFrame, routes: DataFrame) -> DataFrame:
     habit = habit.select("generation_model", (F.col("open") / F.col("n") > HABIT).alias("habit"))
     sure = F.col("state") == "cut"
     doubted = read.filter(~sure)
-    whole_words = known_words(rows.select("output"), doubted).withColumn("_known", F.lit(True))
+    whole_words = known_words(rows.select("pair_id", "output"), doubted).withColumn("_known", F.lit(True))
     piles = limits(rows.select("output")).withColumn("_pile", F.lit(True))
     judged = doubted.join(whole_words, "last_word", "left").join(piles, "n_chars", "left")
     judged = judged.join(most, "generation_model", "left").join(habit, "generation_model", "left")
