@@ -2,9 +2,11 @@
 
 Windows of WINDOW containers are filled by deficit round-robin over one queue per source: in each window a source may send
 tokens up to its quantum, its share of the window, plus the deficit that it carries; an item that exceeds this waits and
-the deficit is carried on. What a source has sent by the end of window k is therefore the longest head of its queue that
-fits k quanta, and the window of an item follows from the running total of its queue alone. That total is taken over
-cells of the queue first and within cells after, so deficits pass from window to window and from partition to partition
+the deficit is carried on. A queue that has ended leaves its quantum to the others in proportion to their shares.
+
+What all queues have sent while a queue of weight w sent its first e tokens is a sum over the sources alone: each has sent
+w' e / w tokens or all it has. So the window of an item follows from the running total of its own queue, which is taken over
+cells of the queue first and within cells after: deficits pass from window to window and from partition to partition
 without a sequential pass, and no source is one task. Each window, a bounded number of tokens, is then packed by best fit.
 """
 
@@ -47,22 +49,27 @@ def pieces(sized: DataFrame, specs: DataFrame) -> DataFrame:
 def schedule(items: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     """items with window: the round of deficit round-robin in which each is served.
 
-    shares (source, share) are the target proportions of every window; by default each source's own share of all tokens,
-    with which all queues end together. With other shares a queue that ends early leaves its part of later windows free.
-    A queue stands in hash order of its documents.
+    shares (source, share) are the target proportions of every window, taken in proportion over the sources that have
+    tokens; a source named twice has the sum. By default each source's share is its own part of all tokens, with which all
+    queues end together. Sources that shares does not name, or names with a share that is null or not positive, have
+    windows of their own after all others, in proportion to their tokens. A queue stands in hash order of its documents.
     """
     queue = F.coalesce("source", F.lit("\0"))
     per_window = F.greatest(F.lit(WINDOW_TOKENS), F.col("capacity") * WINDOW)
     items = items.withColumn("queue", queue).withColumn("place", F.xxhash64("doc_id", F.lit("queue")))
     have = items.groupBy("container", "queue").agg(F.sum("tokens").alias("_sum"), F.count_if(F.col("tokens") == 0).alias("_none"))
-    have = have.withColumn("_all", F.sum("_sum").over(W.partitionBy("container")))
     if shares is None:
-        quanta = have.withColumn("share", F.try_divide(F.col("_sum"), F.col("_all")))
+        have = have.withColumn("_share", F.col("_sum").cast("double"))
     else:
-        quanta = have.join(shares.select(queue.alias("queue"), "share"), "queue", "left")
-        quanta = quanta.withColumn("share", F.coalesce("share", F.try_divide(F.col("_sum"), F.col("_all"))))
+        asked = shares.groupBy(queue.alias("queue")).agg(F.sum(F.greatest("share", F.lit(0.0))).alias("_share"))
+        have = have.join(asked, "queue", "left")
+    # Queues without a target come after the others: their weight is what they hold.
+    have = have.withColumn("_later", ~F.coalesce(F.col("_share") > 0, F.lit(False)))
+    have = have.withColumn("weight", F.when(F.col("_later"), F.col("_sum").cast("double")).otherwise(F.col("_share")))
+    queues = F.struct("_later", F.col("_sum").alias("has"), "weight")
+    quanta = have.withColumn("queues", F.collect_list(queues).over(W.partitionBy("container")))  # one of each source
     quanta = quanta.withColumn("cells", F.ceil(F.col("_sum") / CELL_TOKENS) + 1)
-    quanta = quanta.withColumn("spread", F.ceil(F.col("_none") / EMPTY_ITEMS)).select("container", "queue", "share", "cells", "spread")
+    quanta = quanta.withColumn("spread", F.ceil(F.col("_none") / EMPTY_ITEMS)).select("container", "queue", "_later", "weight", "queues", "cells", "spread")
     placed = items.join(F.broadcast(quanta), ["container", "queue"])  # one row per source and container
     placed = placed.withColumn("cell", F.pmod("place", F.col("cells")))
     cells = placed.groupBy("container", "queue", "cell").agg(F.sum("tokens").alias("_t"))
@@ -70,11 +77,16 @@ def schedule(items: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     cells = cells.select("container", "queue", "cell", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.sum("tokens").over(W.partitionBy("container", "queue", "cell").orderBy("place", "doc_id", "piece"))
     sent = placed.join(cells, ["container", "queue", "cell"]).withColumn("_end", F.col("_before") + within)
-    quantum = F.col("share") * per_window
-    window = F.greatest(F.ceil(F.coalesce(F.try_divide(F.col("_end"), quantum), F.lit(0.0)) - 1e-9).cast("long") - 1, F.lit(0))
+    turn = F.try_divide(F.col("_end").cast("double"), F.col("weight"))
+    total = lambda queues, value: F.aggregate(queues, F.lit(0.0), lambda acc, q: acc + value(q))
+    mine = F.filter("queues", lambda q: q["_later"] == F.col("_later"))
+    served = total(mine, lambda q: F.least(q["has"].cast("double"), q["weight"] * turn))
+    named = total(F.filter("queues", lambda q: ~q["_later"]), lambda q: q["has"].cast("double"))
+    first = F.when(F.col("_later"), F.ceil(named / per_window)).otherwise(F.lit(0))
+    window = first + F.greatest(F.ceil(F.coalesce(served / per_window, F.lit(0.0)) - 1e-9).cast("long") - 1, F.lit(0))
     # Items without tokens take no part in the round-robin; they are spread so that no window holds many of them.
-    window = F.when(F.col("tokens") == 0, F.pmod("place", F.greatest("spread", F.lit(1)))).otherwise(window)
-    return sent.withColumn("window", window).drop("queue", "place", "cells", "cell", "share", "spread", "_before", "_end")
+    window = F.when(F.col("tokens") == 0, F.pmod("place", F.greatest("spread", F.lit(1)))).otherwise(window).cast("long")
+    return sent.withColumn("window", window).drop("queue", "place", "cells", "cell", "weight", "queues", "_later", "spread", "_before", "_end")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -106,7 +118,7 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
 def pack(sized: DataFrame, specs: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     """container, window, bin, source, doc_id, piece, start_token, tokens of every document in every kind of container.
 
-    A container is known by its kind, window and bin. sized: doc_id, source, tokens.
+    A container is known by its kind, window and bin. sized: doc_id, source, tokens. shares as in schedule().
     """
     planned = schedule(pieces(sized, specs), shares)
     return planned.groupBy("container", "window").applyInPandas(_pack, _PACKED)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkgauge.llm import answers, ending, groups, mixing, packing, shape, spans, tokens
 from inkgauge.sources.tables import table, texts
@@ -65,6 +66,20 @@ def p6_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.proportions(packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "container_specs")))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets").select(F.lower(F.trim("source")).alias("source"), F.col("target_share").alias("share"))
+    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "container_specs"), targets)
+
+
+def p6_mixed_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers whose windows hold the sources in the proportions of mix_targets as long as they last."""
+    return _mixed(spark, sf_dir)
+
+
+def p6_mixed_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.proportions(_mixed(spark, sf_dir))
+
+
 def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -86,6 +101,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p5_found": p5_found, "p5_rates": p5_rates,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_level_splits": p4_level_splits,
     "p6_containers": p6_containers, "p6_unused": p6_unused, "p6_proportions": p6_proportions,
+    "p6_mixed_containers": p6_mixed_containers, "p6_mixed_proportions": p6_mixed_proportions,
     "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share,
 }
 SQL: dict[str, str] = {}

@@ -103,3 +103,36 @@ def test_draw_of_nothing(spark):
     same = spark.createDataFrame([(1, "a", 0), (2, "a", 0)], SIZED)
     assert {r.uses for r in mixing.draw(same, targets)[0].collect()} == {0}
     assert mixing.draw(same, targets.limit(0))[0].agg(F.sum("uses")).first()[0] == 0
+
+
+def test_windows_hold_the_target_proportions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW_TOKENS", 4000)
+    monkeypatch.setattr(packing, "WINDOW", 1)
+    r = random.Random(4)
+    rows = [(i, s, r.randrange(1, 60)) for i, s in enumerate(["a"] * 3000 + ["b"] * 1000 + ["c"] * 200 + ["zero"] * 3000 + ["unnamed"] * 500 + [None] * 50)]
+    shares = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("b", 0.1), ("c", 0.1), ("zero", 0.0), ("absent", 0.4), ("null", None)], "source string, share double")
+    got = packing.pack(spark.createDataFrame(rows, SIZED), spark.createDataFrame([("k", 64, "x")], SPECS), shares).collect()
+    assert sorted((g.doc_id, g.tokens) for g in got) == sorted((i, n) for i, _, n in rows)
+    load, sent, last = Counter(), Counter(), {}
+    for g in got:
+        load[g.window] += g.tokens
+        sent[g.source, g.window] += g.tokens
+        last[g.source] = max(last.get(g.source, 0), g.window)
+    assert max(load.values()) <= 4000 + 3 * 60
+    # Queues end in the order of what they hold over their share; until then each is within one item of its part.
+    have = Counter()
+    for _, s, n in rows:
+        have[s] += n
+    turn = {s: have[s] / w for s, w in (("a", 0.5), ("b", 0.4), ("c", 0.1))}
+    total = Counter()
+    for window in range(max(last["a"], last["b"], last["c"])):
+        upto = 4000 * (window + 1)
+        low, high = 0.0, max(turn.values())
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(have[s], w * mid) for s, w in (("a", 0.5), ("b", 0.4), ("c", 0.1))) <= upto else (low, mid)
+        for s, w in (("a", 0.5), ("b", 0.4), ("c", 0.1)):
+            total[s] += sent[s, window]
+            assert min(have[s], w * low) - 60 <= total[s] <= min(have[s], w * low) + 1e-3
+    first = min(g.window for g in got if g.source in ("zero", "unnamed", None))
+    assert first > max(last["a"], last["b"], last["c"]) and len({g.window for g in got}) <= sum(have.values()) // 4000 + 3
