@@ -23,11 +23,12 @@ def _place(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit("place")), 64 - BITS * LEVELS)
 
 
-def budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, refill: bool = False) -> DataFrame:
     """Per target source: share, max_repeats, documents, available, budget, passes (whole uses) and rest.
 
     total_tokens is the size to be drawn; by default all tokens of the sources that are in targets. A source gives at most
-    max_repeats times what it has. Null shares or repeats count as 0 and 1. Sources named twice add their shares.
+    max_repeats times what it has. Null shares or repeats count as 0 and 1. Sources named twice add their shares. What a
+    source cannot give is missing from the total or, with refill, handed on to the others in proportion to their shares.
     """
     source = F.lower(F.trim("source"))
     share = F.greatest(F.coalesce(F.sum("target_share"), F.lit(0.0)), F.lit(0.0))
@@ -42,8 +43,19 @@ def budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     size = F.lit(total_tokens) if total_tokens is not None else F.sum("available").over(everything)
     shares = F.sum("target_share").over(everything)
     asked = F.floor(F.coalesce(F.try_divide(F.col("target_share"), shares), F.lit(0.0)) * size)
-    budget = F.least(asked, F.col("available") * F.col("max_repeats"))
-    out = joined.withColumn("asked", asked).withColumn("budget", budget)
+    most = F.col("available") * F.col("max_repeats")
+    out = joined.withColumn("asked", asked).withColumn("budget", F.least(asked, most))
+    if refill:
+        # Sources fill up in the order of most / share. The level at which the rest share what is left is the first that
+        # the next source can hold.
+        out = out.withColumn("_full", F.coalesce(F.try_divide(most.cast("double"), F.col("target_share")), F.lit(0.0)))
+        order = W.orderBy("_full", "source")
+        given = F.coalesce(F.sum(F.when(F.col("target_share") > 0, most)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        waiting = F.sum("target_share").over(order.rowsBetween(0, W.unboundedFollowing))
+        out = out.withColumn("_level", F.try_divide(size - given, waiting))
+        level = F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_full", "_level"))).over(everything)["_level"]
+        out = out.withColumn("budget", F.least(most, F.coalesce(F.floor(F.col("target_share") * level + 1e-6), most)))
+        out = out.withColumn("budget", F.when(F.col("target_share") > 0, F.col("budget")).otherwise(F.lit(0))).drop("_full", "_level")
     out = out.withColumn("passes", F.coalesce(F.floor(F.try_divide(F.col("budget"), F.col("available"))), F.lit(0)))
     return out.withColumn("rest", F.col("budget") - F.col("passes") * F.col("available"))
 
@@ -62,6 +74,10 @@ def thresholds(placed: DataFrame, plan: DataFrame) -> DataFrame:
         inside = placed.join(F.broadcast(state), "source")  # one row per target source
         if level:
             inside = inside.filter(F.shiftright("place", shift + BITS) == F.col("prefix"))
+        if level == 1:
+            # Only the boundary bucket is refined, so further levels read nothing else.
+            placed = materialized(inside.select("source", "place", "tokens"), "boundary")
+            inside = placed.join(F.broadcast(state), "source")
         bucket = F.shiftright("place", shift).alias("bucket")
         sums = inside.groupBy("source", "prefix", "left", bucket).agg(F.sum("tokens").alias("t"))
         upto = F.sum("t").over(W.partitionBy("source").orderBy("bucket"))
@@ -71,15 +87,15 @@ def thresholds(placed: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", F.col("prefix").alias("limit"))
 
 
-def draw(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+def draw(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, refill: bool = False) -> tuple[DataFrame, DataFrame]:
     """(uses, shares) of sized documents (doc_id, source, tokens) drawn towards targets.
 
     uses: doc_id, source, tokens, uses for every document; documents without a source or of a source that is not in
-    targets are used 0 times. shares: per target source what was asked, drawn and reached, with capped set where the
+    targets are used 0 times. refill as in budgets(). shares: per target source what was asked, drawn and reached, with capped set where the
     repeats did not allow the target; a source without documents has drawn 0.
     """
-    plan = materialized(budgets(sized, targets, total_tokens), "plan")
-    placed = materialized(sized.withColumn("place", _place(F.col("doc_id"))), "placed")
+    plan = materialized(budgets(sized, targets, total_tokens, refill), "plan")
+    placed = sized.withColumn("place", _place(F.col("doc_id")))
     limits = materialized(thresholds(placed, plan), "limits")
     rules = plan.filter("documents > 0").select("source", "passes", "rest").join(limits, "source", "left")
     once = (F.col("rest") > 0) & (F.col("place") < F.col("limit"))

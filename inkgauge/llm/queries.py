@@ -88,6 +88,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_refilled_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares where what capped sources cannot give is handed on to the others."""
+    return mixing.draw(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), refill=True)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -102,6 +107,6 @@ QUERIES = {
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_level_splits": p4_level_splits,
     "p6_containers": p6_containers, "p6_unused": p6_unused, "p6_proportions": p6_proportions,
     "p6_mixed_containers": p6_mixed_containers, "p6_mixed_proportions": p6_mixed_proportions,
-    "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share,
+    "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_refilled_shares": p7_refilled_shares, "p8_found": p8_found, "p8_share": p8_share,
 }
 SQL: dict[str, str] = {}

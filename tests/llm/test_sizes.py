@@ -136,3 +136,15 @@ def test_windows_hold_the_target_proportions(spark, monkeypatch):
             assert min(have[s], w * low) - 60 <= total[s] <= min(have[s], w * low) + 1e-3
     first = min(g.window for g in got if g.source in ("zero", "unnamed", None))
     assert first > max(last["a"], last["b"], last["c"]) and len({g.window for g in got}) <= sum(have.values()) // 4000 + 3
+
+
+def test_what_capped_sources_miss_is_handed_on(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 9 else "a", 10) for i in range(900)], SIZED)
+    have = {r.source: r.t for r in df.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    targets = spark.createDataFrame([("a", 0.1, 1), ("b", 0.6, 1), ("c", 0.3, 5), ("none", 0.5, 3), ("zero", 0.0, 3)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.draw(df, targets, 9000, refill=True)[1].collect()}
+    left = 9000 - have["b"]
+    a = min(have["a"], left * 0.1 / 0.4)
+    assert got["b"].drawn == have["b"] and abs(got["a"].drawn - a) <= 10 and abs(got["c"].drawn - (left - a)) <= 20 and got["none"].drawn == got["zero"].drawn == 0
+    short = {r.source: r.drawn for r in mixing.draw(df, targets, 10**9, refill=True)[1].collect()}
+    assert short["a"] == have["a"] and short["b"] == have["b"] and short["c"] == 5 * have["c"]
