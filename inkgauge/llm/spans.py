@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkgauge.functions.types import row
+from inkgauge.llm.sift import sifted
 from inkgauge.session import materialized
 
 #: Least length of a shared run, in characters (fixed by the task), and the length of a block.
@@ -193,11 +194,13 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select("doc_id", "text")
     sections = materialized(texts.mapInArrow(_sections, _SECTIONS), "sections")
-    anchors = sections.groupBy("anchor").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("section").alias("c"), F.max("section").alias("d")
-    )
-    anchors = anchors.filter("a <> b").select("anchor", (F.col("c") == F.col("d")).alias("single"))
-    known = materialized(sections.join(anchors, "anchor"), "known")
+    # Most anchors are of one document; their sections are sifted out before the join.
+    repeated = sections.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b")
+    repeated = materialized(repeated.select("anchor"), "anchors")
+    known = materialized(sifted(sections, ["anchor"], repeated).join(repeated, "anchor"), "known")
+    mixed_anchors = known.groupBy("anchor").agg(F.min("section").alias("c"), F.max("section").alias("d")).filter("c <> d")
+    mixed_anchors = materialized(mixed_anchors.select("anchor", F.lit(True).alias("mixed")), "mixed")
+    known = known.join(mixed_anchors, "anchor", "left").withColumn("single", F.col("mixed").isNull()).drop("mixed")
     mixed = known.filter("not single")
     speakers = mixed.groupBy("anchor", "section").agg(
         F.min(F.struct("doc_id", "low", "more", "back")).alias("s"), F.max("doc_id").alias("other"), F.count("*").alias("places")
@@ -207,16 +210,18 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     several = speakers.filter("doc_id <> other").select("anchor", "section")
     whole = known.filter("single").unionByName(mixed.join(several, ["anchor", "section"], "left_semi"))
     spans = speakers.groupBy("doc_id").agg(F.collect_list(F.struct("low", "more", "back", "other")).alias("spans"))
-    stretches = materialized(texts.join(spans, "doc_id").mapInArrow(_stretches, _STRETCHES), "stretches")
+    spans = materialized(spans, "spans")
+    stretches = materialized(sifted(texts, ["doc_id"], spans).join(spans, "doc_id").mapInArrow(_stretches, _STRETCHES), "stretches")
     twice = stretches.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("a"), F.max("other").alias("b"))
-    twice = twice.filter("a <> b").select("anchor", "stretch")
-    hits = stretches.filter("doc_id = other").join(twice, ["anchor", "stretch"], "left_semi")
-    hits = hits.select("anchor", "doc_id", "low", "start")
+    twice = materialized(twice.filter("a <> b").select("anchor", "stretch"), "twice")
+    hits = sifted(stretches.filter("doc_id = other"), ["anchor", "stretch"], twice).join(twice, ["anchor", "stretch"])
+    hits = materialized(hits.select("anchor", "doc_id", "low", "start"), "hits")
     # The same section at other places of its one document.
     again = speakers.filter("doc_id = other and places > 1").select("anchor", "section", F.col("low").alias("spoken"))
     again = mixed.join(again, ["anchor", "section"]).filter("low <> spoken")
     again = again.select("anchor", "doc_id", F.col("spoken").alias("low"), (F.col("low") - F.col("spoken")).alias("shift"))
-    moved = hits.join(again, ["anchor", "doc_id", "low"]).select("doc_id", (F.col("start") + F.col("shift")).alias("start"))
+    again = materialized(again, "again")
+    moved = sifted(hits, ["anchor", "doc_id", "low"], again).join(again, ["anchor", "doc_id", "low"]).select("doc_id", (F.col("start") + F.col("shift")).alias("start"))
     starts = hits.select("doc_id", "start").unionByName(moved)
     parts = whole.select("doc_id", "low", (F.col("low") + F.col("more") + SPAN).alias("high"))
     return joined_stretches(parts.unionByName(starts.select("doc_id", F.col("start").alias("low"), (F.col("start") + SPAN).alias("high"))))

@@ -13,3 +13,15 @@ def test_a_passage_twice_in_one_document_is_found_at_both_places(spark):
         assert len(wanted) == 3 and found(spark, texts) == wanted
     texts = [(5, twice), (1, noise(r, 40) + s[640:1480] + s[640:1480]), (2, "".join(["xyz" * 120, s[300:900], "xyz" * 90])), (3, "xyz" * 80), (4, s[100:700] + s[:400] + s[100:700])]
     assert found(spark, texts) == brute(texts)
+
+
+def test_sifting_keeps_every_key_and_drops_most_others(spark, monkeypatch):
+    from inkgauge.llm import sift
+
+    rows = spark.range(20_000).selectExpr("id", "id % 7 AS b", "'x' AS clash")
+    keys = spark.range(0, 20_000, 50).selectExpr("id", "id % 7 AS b")
+    got = {r.id for r in sift.sifted(rows, ["id", "b"], keys).collect()}
+    assert set(range(0, 20_000, 50)) <= got and len(got) < 400 + 0.12 * 20_000
+    assert sift.sifted(rows, ["id"], keys.limit(0)).count() == 0
+    monkeypatch.setattr(sift, "MOST_BITS", 100)
+    assert sift.sifted(rows, ["id", "b"], keys).count() == 20_000
