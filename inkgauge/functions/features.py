@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -28,7 +28,10 @@ def surface_form(text: str) -> str:
 
 
 def grams(items, n: int) -> list:
-    return [tuple(items[i : i + n]) for i in range(len(items) - n + 1)]
+    """Runs of n neighbours: texts of a text, tuples of a list."""
+    if isinstance(items, str):
+        return [items[i : i + n] for i in range(len(items) - n + 1)]
+    return list(zip(*(items[i:] for i in range(n))))
 
 
 def _share(part: float, whole: float) -> float:
@@ -41,16 +44,15 @@ def multiset_share(target: list, source: list) -> float:
 
 
 def common_subsequence(left: list, right: list) -> int:
-    """Length of the longest common subsequence: matches of right, kept as the least ends of chains."""
+    """Length of the longest common subsequence, by rows of bits: a bit of row is 0 where the length grows at that item."""
     places: dict = {}
     for i, item in enumerate(right):
-        places.setdefault(item, []).insert(0, i)
-    ends: list[int] = []
+        places[item] = places.get(item, 0) | 1 << i
+    row = full = (1 << len(right)) - 1
     for item in left:
-        for place in places.get(item, ()):  # from the last place to the first, so one item extends a chain once
-            at = bisect.bisect_left(ends, place)
-            ends[at : at + 1] = [place]
-    return len(ends)
+        met = row & places.get(item, 0)
+        row = (row + met | row - met) & full
+    return len(right) - row.bit_count()
 
 
 def surface_features(prompt: str | None, output: str | None) -> tuple[float, ...]:
@@ -82,3 +84,38 @@ def _features(prompts: pd.Series, outputs: pd.Series) -> pd.DataFrame:
 def features(prompt: Column, output: Column) -> Column:
     """struct of FEATURES."""
     return _features(prompt, output)
+
+
+def word_coverage(prompt: str | None, output: str | None) -> tuple[int, float, float]:
+    """Words of the output, the share of them that the prompt has as often, and the cosine of both word counts."""
+    given, made = (Counter(_WORD.findall(surface_form(t or ""))) for t in (prompt, output))
+    n = made.total()
+    size = math.sqrt(sum(v * v for v in made.values())) * math.sqrt(sum(v * v for v in given.values()))
+    return n, _share((made & given).total(), n), _share(sum(v * given[w] for w, v in made.items()), size)
+
+
+_COVERAGE = row(words="long", token_coverage="double", cosine="double")
+#: Lengths of the character runs whose coverage is measured.
+LENGTHS = (3, 5, 8)
+_CHARS = row(**{f"char{n}": "double" for n in LENGTHS})
+
+
+@F.pandas_udf(_COVERAGE)
+def _word_coverage(prompts: pd.Series, outputs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([word_coverage(p, o) for p, o in zip(prompts, outputs)], columns=_COVERAGE.names)
+
+
+@F.pandas_udf(_CHARS)
+def _char_coverage(prompts: pd.Series, outputs: pd.Series) -> pd.DataFrame:
+    forms = ((surface_form(o or ""), surface_form(p or "")) for p, o in zip(prompts, outputs))
+    return pd.DataFrame([[multiset_share(grams(o, n), grams(p, n)) for n in LENGTHS] for o, p in forms], columns=_CHARS.names)
+
+
+def coverage(prompt: Column, output: Column) -> Column:
+    """struct of word_coverage(); null counts as empty."""
+    return _word_coverage(prompt, output)
+
+
+def char_coverage(prompt: Column, output: Column) -> Column:
+    """struct of the shares of the output's character runs, counted with repeats, that the prompt has; null counts as empty."""
+    return _char_coverage(prompt, output)

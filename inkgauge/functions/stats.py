@@ -38,20 +38,20 @@ def alpha_z(r: Column, n: Column, raters: int = 2) -> Column:
     return F.when(n >= 2, 1 - (1 - r) * (size - 1) / size)
 
 
-def midranks(df: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
-    """df with the average-tie rank of value within keys in column to; null values have no rank.
+def midranks(df: DataFrame, keys: list[str], value: str, to: str, weight: str | None = None) -> DataFrame:
+    """df with the average-tie rank of value within keys in column to; null values have no rank. A row counts weight times.
 
     Values are counted first. The running count is taken over ranges of values that a range partitioning cuts, so one
     large group is many tasks: ties settle within a value, values within a range, ranges by their sums.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     ranged = counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id())
     ranged = materialized(ranged, "ranges")
     sums = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
     below = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "_part", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_below"))
     within = W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranks = ranged.join(F.broadcast(sums), [*keys, "_part"])  # a row for each range and group
+    ranks = ranged.join(sums, [*keys, "_part"])  # a row for each range and group
     last = F.col("_below") + F.sum("_n").over(within)
     ranks = ranks.select(*keys, value, (last - (F.col("_n") - 1) / 2.0).alias(to))
     return df.join(ranks, [*keys, value], "left")

@@ -28,3 +28,18 @@ def _surface(values: pd.Series) -> pd.Series:
 def surface(col: Column) -> Column:
     """Surface form: NFC, case-folded, white space collapsed to single spaces and stripped; null stays null."""
     return _surface(col)
+
+
+def fold(text: str) -> str:
+    """NFKC form with single spaces, case-folded, for telling texts apart."""
+    return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
+
+
+@F.pandas_udf(T.StringType())
+def _folded(values: pd.Series) -> pd.Series:
+    return values.map(fold, na_action="ignore")
+
+
+def folded(col: Column) -> Column:
+    """fold() of a column; null stays null."""
+    return _folded(col)

@@ -2,58 +2,44 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ALPHAS = tuple(10.0**k for k in range(-6, 7))
 FOLDS = 5
-#: Clusters that the sequential assignment of folds takes; more are a sign that folds by hash should be used.
-MOST_CLUSTERS = 500_000
-
+#: Cells of the hash in which clusters of one size class are counted before the running count.
+CELLS = 1024
 
-def _token(seed: int, *parts) -> str:
-    return hashlib.sha256("\0".join(map(str, (seed, *parts))).encode()).hexdigest()
 
+def with_folds(df: DataFrame, domain: str, cluster: str, seed: int, to: str, n_folds: int = FOLDS) -> DataFrame:
+    """df with the fold of its cluster in column to: all rows of a cluster share it, and it does not depend on any order.
 
-def grouped_folds(sizes: list[tuple[str, str, int]], seed: int, n_folds: int = FOLDS) -> dict[tuple[str, str], int]:
-    """Fold of each cluster (domain, cluster): large clusters first, each to the fold with the fewest rows of its domain,
-    then the fewest rows, the fewest clusters, and the first by hash. The order of sizes does not matter.
+    The clusters of a domain stand in descending classes of size (powers of two) and, within a class, in hash order, and are
+    dealt to the folds in turn, so folds differ by about one cluster of each class. The place of a cluster is counted over
+    cells of the hash first and within a cell after: no task orders all clusters and none reach the driver.
     """
-    by_domain: dict[str, list[int]] = {}
-    rows, clusters, fold_of = [0] * n_folds, [0] * n_folds, {}
-    for domain, cluster, n in sorted(sizes, key=lambda s: (-s[2], _token(seed, "order", *s[:2]), s[:2])):
-        own = by_domain.setdefault(domain, [0] * n_folds)
-        best = min(range(n_folds), key=lambda f: (own[f], rows[f], clusters[f], _token(seed, "fold", domain, cluster, f)))
-        fold_of[domain, cluster] = best
-        own[best] += n
-        rows[best] += n
-        clusters[best] += 1
-    return fold_of
-
-
-def with_folds(df: DataFrame, domain: str, cluster: str, seed: int, to: str) -> DataFrame:
-    """df with the fold of its cluster in column to; greedy, so it is done on the driver for the cluster sizes alone."""
-    sizes = df.groupBy(domain, cluster).count()
-    if sizes.count() > MOST_CLUSTERS:
-        raise ValueError("too many clusters for a sequential assignment")
-    fold_of = grouped_folds([tuple(r) for r in sizes.collect()], seed)  # at most MOST_CLUSTERS rows
-    schema = T.StructType([df.schema[domain], df.schema[cluster], T.StructField(to, T.IntegerType())])
-    table = df.sparkSession.createDataFrame([(*key, fold) for key, fold in fold_of.items()], schema)
-    return df.join(table, [domain, cluster])
-
-
-def moments(df: DataFrame, folds: list[str], xs: list[str], y: str) -> dict[tuple, np.ndarray]:
-    """Per combination of folds the matrix of sums of products of (1, xs, y): one pass, small results."""
-    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in (*xs, y)]]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    found = df.groupBy(*folds).agg(*[F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()  # a row per fold
+    sizes = df.groupBy(domain, cluster).agg(F.count("*").alias("_n")).withColumn("_class", F.floor(F.log2("_n")))
+    sizes = sizes.withColumn("_place", F.xxhash64(F.lit(seed), domain, cluster)).withColumn("_cell", F.pmod("_place", F.lit(CELLS)))
+    cells = sizes.groupBy(domain, "_class", "_cell").agg(F.count("*").alias("_c"))  # at most 63 x CELLS rows of a domain
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(domain).orderBy(F.desc("_class"), "_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col(domain).alias("_d"), F.col("_class").alias("_k"), F.col("_cell").alias("_m"), before.alias("_before"))
+    same = sizes[domain].eqNullSafe(cells["_d"]) & (sizes["_class"] == cells["_k"]) & (sizes["_cell"] == cells["_m"])
+    within = F.row_number().over(W.partitionBy(domain, "_class", "_cell").orderBy("_place", cluster)) - 1
+    start = F.pmod(F.xxhash64(F.lit(seed), domain), F.lit(n_folds))
+    dealt = sizes.join(cells, same).select(F.col(domain).alias("_d"), F.col(cluster).alias("_c"), F.pmod(F.col("_before") + within + start, F.lit(n_folds)).cast("int").alias(to))
+    return df.join(dealt, df[domain].eqNullSafe(dealt["_d"]) & df[cluster].eqNullSafe(dealt["_c"])).drop("_d", "_c")
+
+
+def moments(df: DataFrame, folds: list[str], columns: list[str]) -> dict[tuple, np.ndarray]:
+    """Per combination of folds the matrix of sums of products of (1, columns): one pass, small results."""
+    values = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+    found = df.groupBy(*folds).agg(*[F.sum(values[i] * values[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()  # a row per fold
     out = {}
     for r in found:
-        m = np.zeros((len(columns), len(columns)))
+        m = np.zeros((len(values), len(values)))
         for i, j in pairs:
             m[i, j] = m[j, i] = r[f"s{i}_{j}"] or 0.0
         out[tuple(r[f] for f in folds)] = m
@@ -89,16 +75,17 @@ def best_alpha(inner: dict[int, np.ndarray]) -> float:
     return max(a for a, e in errors.items() if e <= least + 1e-12 + 1e-10 * abs(least))
 
 
-def out_of_fold(df: DataFrame, outer: str, inner: str, xs: list[str], y: str) -> tuple[DataFrame, dict[int, float]]:
-    """df with prediction of a ridge model that never saw its outer fold, and the alpha of each outer fold.
+def predictions(sums: dict[tuple, np.ndarray], columns: list[str], outer: str, xs: list[str], y: str) -> tuple[Column, dict[int, float]]:
+    """Prediction of y by a ridge model that never saw its outer fold, and the alpha of each outer fold.
 
-    Every model of every fold and alpha is solved from one aggregation of sums of products by outer and inner fold.
+    sums are moments() of columns, among them xs and y, by outer and inner fold: every model of every fold, alpha, set of
+    predictors and target is solved from one aggregation.
     """
-    sums = moments(df.dropna(subset=[*xs, y]), [outer, inner], xs, y)
-    folds = sorted({o for o, _ in sums})
+    at = [0, *[1 + columns.index(c) for c in (*xs, y)]]
+    sums = {k: m[np.ix_(at, at)] for k, m in sums.items()}
     prediction: Column = F.lit(None).cast("double")
     alphas: dict[int, float] = {}
-    for fold in folds:
+    for fold in sorted({o for o, _ in sums}):
         parts: dict[int, np.ndarray] = {}
         for (o, i), m in sums.items():
             if o != fold:
@@ -111,4 +98,11 @@ def out_of_fold(df: DataFrame, outer: str, inner: str, xs: list[str], y: str) ->
         for b, x in zip(beta[1:], xs):
             linear = linear + F.lit(float(b)) * F.col(x)
         prediction = F.when(F.col(outer) == fold, linear).otherwise(prediction)
+    return prediction, alphas
+
+
+def out_of_fold(df: DataFrame, outer: str, inner: str, xs: list[str], y: str) -> tuple[DataFrame, dict[int, float]]:
+    """df with prediction of predictions()."""
+    columns = [*xs, y]
+    prediction, alphas = predictions(moments(df.dropna(subset=columns), [outer, inner], columns), columns, outer, xs, y)
     return df.withColumn("prediction", prediction), alphas

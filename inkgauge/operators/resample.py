@@ -1,97 +1,136 @@
-"""Cluster bootstrap. Replicates are tables of multiplicities, never copies of the rows."""
+"""Cluster bootstrap. Replicates are tables of multiplicities, never copies of the rows.
+
+The multiplicity of a cluster in a replicate is Poisson(1) from a hash of both, which stands for drawing as many clusters as
+there are with replacement: no list of clusters, no state and no order is needed, and every statistic of one replicate sees
+the same draw. Replicate POINT has each cluster once; its statistics are the point estimates.
+"""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.functions.types import row
+from inkgauge.functions import stats
 
-#: Replicates that one task of the rank path takes.
-BLOCK = 25
+#: Seed of all draws (a fixed value of the measure), and the replicate that is the sample itself.
+SEED, POINT = 20260823, -1
+#: Bits of the hash that make a draw.
+BITS = 52
+#: Share of the replicates in which a statistic must be defined for its interval to stand.
+SUPPORT = 0.99
 
 
-def poisson_weight(replicate: Column, cluster: Column, seed: int = 20260823) -> Column:
-    """Multiplicity of a cluster in a replicate: Poisson(1) from a hash, which needs neither a list of clusters nor state."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), replicate, cluster), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, upto, term = F.lit(0), 0.0, float(np.exp(-1.0))
-    for k in range(1, 9):
-        upto += term
-        weight = weight + (u > upto).cast("int")
+def _thresholds() -> list[float]:
+    """Cumulative probabilities of Poisson(1) as far as BITS can tell them from 1."""
+    out, total, term, k = [], 0.0, math.exp(-1.0), 0
+    while total + term < 1.0 - 2.0**-BITS and k < 64:
+        total, k = total + term, k + 1
+        out.append(total)
         term /= k
-    return weight
+    return out
 
 
-def additive(clusters: DataFrame, keys: list[str], cluster: str, total: str, count: str, replicates: int) -> DataFrame:
-    """keys, point, low, high, replicates: percentile interval of sum(total) / sum(count) over resampled clusters.
+THRESHOLDS = _thresholds()
+
+
+def poisson_weight(replicate: Column, cluster: Column, seed: int = SEED) -> Column:
+    """Multiplicity of a cluster in a replicate, 1 in replicate POINT."""
+    text = F.concat_ws("\0", F.lit(str(seed)), replicate.cast("string"), cluster)
+    u = F.conv(F.substring(F.sha2(text, 256), 1, BITS // 4), 16, 10).cast("long") / F.lit(float(1 << BITS))
+    # A lambda's variable is computed once, however many thresholds ask for it.
+    weight = F.transform(F.array(u), lambda x: _steps(x))[0]
+    return F.when(replicate == POINT, 1).otherwise(weight)
+
+
+def _steps(u: Column) -> Column:
+    out = F.when(u < THRESHOLDS[0], 0)
+    for k, t in enumerate(THRESHOLDS[1:], 1):
+        out = out.when(u < t, k)
+    return out.otherwise(len(THRESHOLDS))
+
+
+def weight_sql(replicate: str, cluster: str, seed: int = SEED) -> str:
+    """poisson_weight() in SQL."""
+    u = f"(CAST('0x' || substr(sha256('{seed}' || chr(0) || CAST({replicate} AS VARCHAR) || chr(0) || {cluster}), 1, {BITS // 4}) AS BIGINT) / CAST({1 << BITS} AS DOUBLE))"
+    return f"CASE WHEN {replicate} = {POINT} THEN 1 ELSE len(list_filter(CAST({THRESHOLDS} AS DOUBLE[]), lambda t: {u} >= t)) END"
+
 
-    clusters has one row per key and cluster with its sums, which is all that such a statistic needs.
+def replicated(clusters: DataFrame, cluster: str, replicates: int, seed: int = SEED) -> DataFrame:
+    """clusters for every replicate and POINT, with rep and w; rows of multiplicity 0 are left out. A null cluster is one."""
+    out = clusters.withColumn("rep", F.explode(F.sequence(F.lit(POINT), F.lit(replicates - 1))))
+    return out.withColumn("w", poisson_weight(F.col("rep"), F.coalesce(F.col(cluster).cast("string"), F.lit("")), seed)).filter("w > 0")
+
+
+def intervals(values: DataFrame, keys: list[str], value: str, replicates: int) -> DataFrame:
+    """keys, point, low, high, valid: the 2.5 and 97.5 % points of value over the replicates in which it is defined.
+
+    values: keys, rep, value. Without SUPPORT of the replicates low and high are null.
     """
-    draws = clusters.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("_w", poisson_weight(F.col("_rep"), F.col(cluster)))
-    means = draws.groupBy(*keys, "_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(total)), F.sum(F.col("_w") * F.col(count))).alias("_m"))
-    ends = F.percentile("_m", [0.025, 0.975]).alias("_p")
-    intervals = means.groupBy(*keys).agg(ends, F.count("_m").alias("replicates"))
-    point = clusters.groupBy(*keys).agg(F.try_divide(F.sum(total), F.sum(count)).alias("point"))
-    return point.join(intervals, keys).select(*keys, "point", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "replicates")
+    drawn = F.when(F.col("rep") != POINT, F.col(value))
+    found = values.groupBy(*keys).agg(
+        F.max(F.when(F.col("rep") == POINT, F.col(value))).alias("point"), F.percentile(drawn, [0.025, 0.975]).alias("_p"), F.count(drawn).alias("valid")
+    )
+    stands = F.col("valid") >= SUPPORT * replicates
+    return found.select(*keys, "point", F.when(stands, F.col("_p")[0]).alias("low"), F.when(stands, F.col("_p")[1]).alias("high"), "valid")
+
+
+def intervals_sql(source: str, keys: str, value: str, replicates: int) -> str:
+    """intervals() in SQL, with doubles rounded to 6 digits."""
+    drawn = f"CASE WHEN rep <> {POINT} THEN {value} END"
+    stands = f"count({drawn}) >= {SUPPORT * replicates}"
+    return f"""SELECT {keys}, round(max(CASE WHEN rep = {POINT} THEN {value} END), 6) AS point, round(CASE WHEN {stands} THEN quantile_cont({drawn}, 0.025) END, 6) AS low,
+round(CASE WHEN {stands} THEN quantile_cont({drawn}, 0.975) END, 6) AS high, count({drawn}) AS valid FROM {source} GROUP BY {keys}"""
+
+
+def additive(clusters: DataFrame, keys: list[str], cluster: str, total: str, count: str, replicates: int) -> DataFrame:
+    """(keys, rep, mean) of sum(total) / sum(count) over redrawn clusters, from one row per key and cluster with its sums."""
+    draws = replicated(clusters, cluster, replicates)
+    return draws.groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(total)), F.sum(F.col("w") * F.col(count))).alias("mean"))
 
 
-def replicate_seed(seed: int, replicate: int) -> int:
-    """First eight bytes of the SHA-256 of seed and replicate, joined by a zero byte."""
-    return int.from_bytes(hashlib.sha256(f"{seed}\0{replicate}".encode()).digest()[:8], "big")
+#: Sums from which moments of two values follow.
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
-def draw_counts(n_clusters: int, seed: int, replicate: int) -> np.ndarray:
-    """How often each of n clusters is drawn in one replicate of n draws (PCG64)."""
-    rng = np.random.Generator(np.random.PCG64(replicate_seed(seed, replicate)))
-    return np.bincount(rng.integers(0, n_clusters, n_clusters), minlength=n_clusters)
+def pair_sums(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys and SUMS of x and y; rows with a null in either are left out."""
+    a, b = F.col(x), F.col(y)
+    parts = {"n": F.lit(1.0), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
+    return rows.dropna(subset=[x, y]).groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in parts.items()])
 
 
-def weighted_spearman(x_place: np.ndarray, y_place: np.ndarray, weight: np.ndarray) -> float | None:
-    """Spearman's rho of rows that count weight times; the places are dense ranks, which resampling does not change."""
+def weighted_sums(draws: DataFrame, keys: list[str], stratum: str | None = None) -> DataFrame:
+    """keys, rep and SUMS of replicated pair_sums(). With a stratum each stratum is scaled to the size that it has in the sample."""
+    if stratum is None:
+        return draws.groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in SUMS])
+    parts = draws.groupBy(*keys, stratum, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in SUMS])
+    whole = parts.filter(F.col("rep") == POINT).select(*keys, stratum, F.col("n").alias("_all"))
+    parts = parts.join(whole, [*keys, stratum])
+    return parts.groupBy(*keys, "rep").agg(*[F.sum(F.col(c) * F.col("_all") / F.col("n")).alias(c) for c in SUMS])
 
-    def ranks(place: np.ndarray) -> np.ndarray:
-        size = np.bincount(place, weights=weight)
-        return (np.cumsum(size) - size + (size + 1) / 2)[place]
 
-    n = weight.sum()
-    if n < 2:
-        return None
-    a, b = ranks(x_place), ranks(y_place)
-    a, b = a - (weight @ a) / n, b - (weight @ b) / n
-    scale = np.sqrt((weight @ (a * a)) * (weight @ (b * b)))
-    return float(weight @ (a * b) / scale) if scale > 0 else None
+def correlation() -> Column:
+    """Pearson's r from SUMS; null for a constant side."""
+    n, x, y, xx, yy, xy = (F.col(c) for c in SUMS)
+    spread = (n * xx - x * x) * (n * yy - y * y)
+    return F.when(spread > 1e-12, (n * xy - x * y) / F.sqrt(spread))
 
 
-_RHO = row(replicate="long", rho="double")
+CORRELATION_SQL = "CASE WHEN (n * xx - x * x) * (n * yy - y * y) > 1e-12 THEN (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) END"
 
 
-def rank_bootstrap(rows: DataFrame, cluster: str, x: str, y: str, replicates: int, seed: int = 20260823, most_rows: int = 2_000_000) -> DataFrame:
-    """(replicate, rho): Spearman's rho of x and y with clusters redrawn.
+def rank_correlations(rows: DataFrame, keys: list[str], cluster: str, x: str, y: str, replicates: int) -> DataFrame:
+    """(keys, rep, rho): Spearman's rho of x and y with clusters redrawn, at any size.
 
-    Rank statistics are not additive, so each task keeps three numbers per row and takes a block of replicates. This
-    holds for reports of up to most_rows rows; beyond that an error is raised, and additive statistics should be used.
+    A row that counts w times holds w ranks; the weighted midranks come from counted ranges of values (stats.midranks), so
+    neither a replicate nor a group is one task and nothing is kept on the driver.
     """
-    slim = rows.select(cluster, x, y).dropna()
-    if slim.count() > most_rows:
-        raise ValueError("too many rows for the rank path")
-    known = slim.toPandas().sort_values([cluster, x, y])  # at most most_rows rows
-    codes = np.unique(known[cluster].to_numpy(dtype=str), return_inverse=True)[1].astype(np.int32)
-    places = [np.unique(known[c].to_numpy(), return_inverse=True)[1].astype(np.int32) for c in (x, y)]
-    shared = rows.sparkSession.sparkContext.broadcast((codes, *places))
-    n_clusters = int(codes.max()) + 1 if len(codes) else 0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cluster_of, px, py = shared.value
-        for batch in batches:
-            reps = batch["id"].tolist() if n_clusters else []
-            found = [weighted_spearman(px, py, draw_counts(n_clusters, seed, r)[cluster_of].astype(float)) for r in reps]
-            yield pd.DataFrame({"replicate": pd.Series(reps, dtype="int64"), "rho": pd.Series(found, dtype="float64")})
-
-    tasks = rows.sparkSession.range(0, replicates, 1, max(1, -(-replicates // BLOCK)))
-    return tasks.mapInPandas(run, _RHO)
+    draws = replicated(rows.select(*keys, cluster, x, y).dropna(subset=[x, y]), cluster, replicates)
+    draws = draws.groupBy(*keys, "rep", x, y).agg(F.sum("w").alias("w"))
+    ranked = stats.midranks(stats.midranks(draws, [*keys, "rep"], x, "_rx", "w"), [*keys, "rep"], y, "_ry", "w")
+    w, a, b = F.col("w"), F.col("_rx"), F.col("_ry")
+    parts = {"n": w.cast("double"), "x": w * a, "y": w * b, "xx": w * a * a, "yy": w * b * b, "xy": w * a * b}
+    sums = ranked.groupBy(*keys, "rep").agg(*[F.sum(c).alias(name) for name, c in parts.items()])
+    return sums.select(*keys, "rep", correlation().alias("rho"))

@@ -70,11 +70,14 @@ def P11_session_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce("n", F.lit(0)) - F.col("cf").isNotNull().cast("int")
     base = F.coalesce(F.try_divide(F.coalesce("s", F.lit(0.0)) - F.coalesce("cf", F.lit(0.0)), n), F.lit(0.0))
     excess = F.col("ratio") - F.col("baseline")
-    clamp = F.least(F.greatest(F.col("excess"), F.lit(0.0)), F.lit(1.0))
-    out = joined.select("pair_id", "ratio", n.cast("long").alias("counterfactuals"), base.alias("baseline"))
-    out = out.withColumn("excess", excess)
-    # Weights 0.45 and 0.45 of what is known without a trajectory, set to add up to 1.
-    return rounded(out.withColumn("composite", (0.45 * F.col("ratio") + 0.45 * clamp) / 0.9))
+    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    out = joined.select("pair_id", *ITEM, "ratio", n.cast("long").alias("counterfactuals"), base.alias("baseline")).withColumn("excess", excess)
+    # The last term is the trajectory of the item's outputs or, if that is less, how the prompts guide them.
+    paths = materialized(_paths(spark, sf_dir), "paths")
+    same = [out[c].eqNullSafe(paths[c]) for c in ITEM]
+    out = out.join(paths, same, "left").select("pair_id", "ratio", "counterfactuals", "baseline", "excess", F.coalesce("path", F.lit(0.0)).alias("path"))
+    total = 0.45 * F.col("ratio") + 0.45 * clamp(F.col("excess")) + 0.10 * clamp(F.col("path"))
+    return rounded(out.withColumn("composite", clamp(total)))
 
 
 @query(f"""WITH {RATINGS}, b AS (SELECT model, domain, id, avg(r) AS base, count(r) AS n FROM ratings WHERE r IS NOT NULL GROUP BY 1, 2, 3)
@@ -86,20 +89,12 @@ def P12_shared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joined.select("model", "domain", "id", "lv", "counterfactuals", "baseline", F.expr("r - baseline").alias("excess")), 9)
 
 
-@query(r"""SELECT pair_id, CASE WHEN length(trim(prompt)) >= 20 THEN prompt ELSE 'Write about: ' || array_to_string(list_slice(regexp_split_to_array(trim(output), '\s+'), 1, 50), ' ') END AS counterfactual_prompt
-FROM level_results WHERE prompt IS NOT NULL AND output IS NOT NULL AND regexp_full_match(output, '[\x00-\x7f]*')""")
+@query(r"""SELECT pair_id, CASE WHEN length(trim(prompt)) >= 20 THEN prompt ELSE 'Write about: ' || array_to_string(list_slice(regexp_extract_all(output, '[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+'), 1, 50), ' ') END AS counterfactual_prompt FROM level_results""")
 def P19_counterfactual_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part that the SQL defines: ASCII outputs only. P19_all_counterfactual_prompts has every output."""
-    rows = table(spark, sf_dir, "level_results", "pair_id", "prompt", "output").filter("prompt is not null and output is not null")
-    rows = rows.filter(F.col("output").rlike(r"\A[\x00-\x7f]*\z"))
-    head = F.array_join(F.slice(F.split(F.trim("output"), r"\s+"), 1, 50), " ")
-    return rows.select("pair_id", F.when(F.length(F.trim("prompt")) >= 20, F.col("prompt")).otherwise(F.concat(F.lit("Write about: "), head)).alias("counterfactual_prompt"))
-
-
-@query()
-def P19_all_counterfactual_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt, or a template around the first 50 words of the output, of every pair that has both, in any script."""
-    rows = table(spark, sf_dir, "level_results", "pair_id", "prompt", "output").filter("prompt is not null and output is not null")
+    """The prompt if it has 20 characters or more, else a template around the first 50 words of the output, in any script;
+    null where that is null too.
+    """
+    rows = table(spark, sf_dir, "level_results", "pair_id", "prompt", "output")
     head = F.array_join(F.slice(text.unicode_split(F.col("output")), 1, 50), " ")
     return rows.select("pair_id", F.when(F.length(F.trim("prompt")) >= 20, F.col("prompt")).otherwise(F.concat(F.lit("Write about: "), head)).alias("counterfactual_prompt"))
 
@@ -113,6 +108,12 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(out)
 
 
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item the greater of its trajectory's composite and its guidance; the former counts from two texts on."""
+    both = _sequences(spark, sf_dir).select(*ITEM, geometry.with_trajectory(F.col("outputs")).alias("t"), geometry.with_guidance(F.col("prompts"), F.col("outputs")).alias("g"))
+    return both.select(*ITEM, F.when(F.col("t.turn_count") >= 2, F.greatest("t.composite", "g")).otherwise(F.col("g")).alias("path"))
+
+
 @query()
 def G01_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _sequences(spark, sf_dir).select(*ITEM, geometry.with_trajectory(F.col("outputs")).alias("t"))
@@ -166,12 +167,29 @@ def P16_stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stored.join(fresh, "pair_id").withColumn("gap", F.expr("ratio - actual_ratio")))
 
 
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item the trajectory of the vectors of its outputs and the mean alignment of prompts and outputs."""
+    return _sequences(spark, sf_dir).select(*ITEM, geometry.with_vector_trajectory(F.col("outputs")).alias("t"), geometry.with_alignment(F.col("prompts"), F.col("outputs")).alias("alignment"))
+
+
+@query()
+def G07_vector_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_embedded(spark, sf_dir).select(*ITEM, "t.*"))
+
+
 @query()
 def G09_hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.55 ratio + 0.20 alignment, with the weights set to add up to 1 where guidance and trajectory are not known."""
-    scored = pair_scores(spark, sf_dir).select("pair_id", codecs.gain(F.col("profile"), F.col("tokens"))["ratio"].alias("ratio"))
-    both = scored.join(G08_alignment(spark, sf_dir), "pair_id")
-    return rounded(both.withColumn("hybrid", (0.55 * F.col("ratio") + 0.20 * F.coalesce("alignment", F.lit(0.0))) / 0.75))
+    """0.55 ratio + 0.20 alignment of the pair + 0.15 alignment of the item's exchanges + 0.10 its vector trajectory.
+
+    What is not known counts as 0; weights stay as they are.
+    """
+    scored = pair_scores(spark, sf_dir).select("pair_id", *ITEM, codecs.gain(F.col("profile"), F.col("tokens"))["ratio"].alias("ratio"))
+    own = G08_alignment(spark, sf_dir)
+    item = materialized(_embedded(spark, sf_dir).select(*ITEM, F.when(F.col("t.turn_count") >= 2, F.col("t.composite")).alias("trajectory"), F.col("alignment").alias("guidance")), "embedded")
+    same = [scored[c].eqNullSafe(item[c]) for c in ITEM]
+    joined = scored.join(item, same, "left").select("pair_id", "ratio", "trajectory", "guidance").join(own, "pair_id", "left").fillna(0.0, ["alignment", "guidance", "trajectory"])
+    hybrid = 0.55 * F.col("ratio") + 0.20 * F.col("alignment") + 0.15 * F.col("guidance") + 0.10 * F.col("trajectory")
+    return rounded(joined.withColumn("hybrid", F.least(F.greatest(hybrid, F.lit(0.0)), F.lit(1.0))))
 
 
 QUERIES, SQL = query.QUERIES, query.SQL

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkgauge.functions import features, text
-from inkgauge.functions.unicode import surface
+from inkgauge.functions.unicode import folded, surface
 from inkgauge.operators import delivery
 from inkgauge.plans.base import Register, rounded
 from inkgauge.sources.tables import table, texts
@@ -19,17 +19,14 @@ def _pairs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return texts(spark, sf_dir, "level_results", "pair_id", "prompt", "output", *more)
 
 
-@query(r"""SELECT pair_id, CAST(len(regexp_extract_all(output, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS INTEGER) AS tokens FROM level_results WHERE output IS NOT NULL AND regexp_full_match(output, '[\x00-\x7f]*')""")
-def T01_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part that the SQL defines: ASCII outputs only. T01_all_token_counts has every output."""
-    rows = _pairs(spark, sf_dir).filter(F.col("output").isNotNull() & F.col("output").rlike(r"\A[\x00-\x7f]*\z"))
-    return rows.select("pair_id", text.token_count(F.col("output")).alias("tokens"))
+#: White space beyond RE2's own \\s, for the SQL.
+_SPACE = r"\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}"
 
 
-@query()
-def T01_all_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every output that is not null, in any script."""
-    return _pairs(spark, sf_dir).filter("output is not null").select("pair_id", text.unicode_token_count(F.col("output")).alias("tokens"))
+@query(rf"""SELECT pair_id, CAST(len(regexp_extract_all(output, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SPACE}]')) AS INTEGER) AS tokens FROM level_results""")
+def T01_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every output, in any script; null for null."""
+    return _pairs(spark, sf_dir).select("pair_id", text.token_count(F.col("output")).alias("tokens"))
 
 
 @query()
@@ -37,7 +34,7 @@ def T02_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", F.sha2(surface(F.col("output")), 256).alias("surface_sha256"))
 
 
-_W = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')"
+_W = r"regexp_extract_all(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')"
 
 
 @query(f"""WITH w AS (SELECT pair_id, {_W.format('prompt')} AS p, {_W.format('output')} AS o FROM level_results WHERE prompt IS NOT NULL AND output IS NOT NULL)
@@ -62,24 +59,33 @@ def T04_bigram_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("pair_id", F.size("g").alias("bigrams"), share.alias("repeated")))
 
 
-@query()
+_form = lambda c: rf"trim(regexp_replace(replace(lower(nfc_normalize(coalesce({c}, ''))), 'ß', 'ss'), '[{_SPACE}]+', ' ', 'g'))"
+
+
+def _char_sql(n: int) -> str:
+    grams = lambda c: f"SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest(list_transform(range(1, greatest(length({c}) - {n - 2}, 1)), lambda i: substr({c}, i, {n}))) AS g FROM f) GROUP BY 1, 2"
+    return f"""o{n} AS ({grams("o")}), p{n} AS ({grams("p")}), c{n} AS (SELECT o{n}.pair_id, sum(least(o{n}.n, coalesce(p{n}.n, 0))) / CAST(sum(o{n}.n) AS DOUBLE) AS c
+  FROM o{n} LEFT JOIN p{n} ON o{n}.pair_id = p{n}.pair_id AND o{n}.g = p{n}.g GROUP BY 1)"""
+
+
+@query(rf"""WITH f AS (SELECT pair_id, {_form("prompt")} AS p, {_form("output")} AS o FROM level_results), {", ".join(map(_char_sql, features.LENGTHS))}
+SELECT f.pair_id, {", ".join(f"round(coalesce(c{n}.c, 0), 6) AS char{n}" for n in features.LENGTHS)} FROM f {" ".join(f"LEFT JOIN c{n} ON c{n}.pair_id = f.pair_id" for n in features.LENGTHS)}""")
 def T05_char_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).filter("prompt is not null and output is not null")
-    cover = lambda n: text.type_containment(text.char_ngrams(F.lower("output"), n), text.char_ngrams(F.lower("prompt"), n))
-    return rounded(rows.select("pair_id", *[cover(n).alias(f"char{n}_types") for n in (3, 5, 8)]))
+    """Shares of the character runs of the output's surface form, with repeats, that the prompt's has; 0 for no run."""
+    return rounded(_pairs(spark, sf_dir).select("pair_id", features.char_coverage(F.col("prompt"), F.col("output")).alias("c")).select("pair_id", "c.*"))
 
 
 _EXPLODED = rf"""WITH p AS (SELECT pair_id, w, count(*) AS n FROM (SELECT pair_id, unnest({_W.format('prompt')}) AS w FROM level_results) GROUP BY 1, 2),
 o AS (SELECT pair_id, w, count(*) AS n FROM (SELECT pair_id, unnest({_W.format('output')}) AS w FROM level_results) GROUP BY 1, 2)"""
 
 
-@query(f"""{_EXPLODED} SELECT o.pair_id, CAST(sum(o.n) AS BIGINT) AS words, round(sum(least(o.n, coalesce(p.n, 0))) / CAST(sum(o.n) AS DOUBLE), 6) AS token_coverage
-FROM o LEFT JOIN p ON o.pair_id = p.pair_id AND o.w = p.w GROUP BY o.pair_id""")
+@query(f"""{_EXPLODED}, c AS (SELECT o.pair_id, sum(o.n) AS words, sum(least(o.n, coalesce(p.n, 0))) / CAST(sum(o.n) AS DOUBLE) AS token_coverage
+FROM o LEFT JOIN p ON o.pair_id = p.pair_id AND o.w = p.w GROUP BY o.pair_id)
+SELECT l.pair_id, CAST(coalesce(c.words, 0) AS BIGINT) AS words, round(coalesce(c.token_coverage, 0), 6) AS token_coverage FROM level_results l LEFT JOIN c ON c.pair_id = l.pair_id""")
 def T06_multiset_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = lambda c: _pairs(spark, sf_dir).select("pair_id", F.explode(text.words(F.col(c))).alias("w")).groupBy("pair_id", "w").agg(F.count("*").alias(c))
-    both = counts("output").join(counts("prompt"), ["pair_id", "w"], "left").groupBy("pair_id")
-    out = both.agg(F.sum("output").alias("words"), (F.sum(F.least("output", F.coalesce("prompt", F.lit(0)))) / F.sum("output")).alias("token_coverage"))
-    return rounded(out)
+    """Share of the output's words, with repeats, that the prompt has as often; 0 for no words. A null text has none."""
+    rows = _pairs(spark, sf_dir).select("pair_id", features.coverage(F.col("prompt"), F.col("output")).alias("c"))
+    return rounded(rows.select("pair_id", "c.words", "c.token_coverage"))
 
 
 @query()
@@ -101,12 +107,15 @@ def T13_top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("k", F.row_number().over(order)).filter("k <= 20").drop("k")
 
 
-@query()
+@query(rf"""WITH s AS (SELECT pair_id, CASE WHEN regexp_extract(output, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) = '' THEN trim(output) ELSE regexp_extract(output, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) END AS w FROM level_results)
+SELECT pair_id, CASE WHEN length(w) > 180 THEN rtrim(left(w, 177)) || '...' ELSE w END AS sentence FROM s""")
 def T14_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", text.first_sentence(F.col("output")).alias("sentence"))
 
 
-@query()
+@query(r"""WITH k AS (SELECT pair_id, prompt, regexp_extract_all(prompt, '\p{Lu}\p{L}{2,}') AS f FROM level_results),
+u AS (SELECT pair_id, prompt, list_filter(f, lambda w, i: list_position(list_transform(f, lambda v: lower(v)), lower(w)) = i) AS f FROM k)
+SELECT pair_id, array_to_string(list_slice(CASE WHEN len(f) > 0 THEN f ELSE list_filter(regexp_split_to_array(trim(prompt), '\s+'), lambda w: w <> '') END, 1, 3), ', ') AS keywords FROM u""")
 def T15_prompt_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", F.array_join(text.capitalized_keywords(F.col("prompt")), ", ").alias("keywords"))
 
@@ -125,6 +134,20 @@ def T18_repetitive_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", text.is_repetitive(F.col("output")).alias("repetitive"))
 
 
+@query()
+def T19_generated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each output is rejected: the rules of text.rejection(), then the same text as an earlier one of its item in NFKC
+    form, letter case and white space aside. Earlier is a smaller pair_id; accepted outputs have no reason.
+    """
+    rows = _pairs(spark, sf_dir, "generation_model", "domain", "id")
+    item = ["generation_model", "domain", "id"]
+    read = rows.select("pair_id", *item, F.sha2(folded(F.col("output")), 256).alias("form"), text.rejection(F.col("output")).alias("reason"))
+    first = read.filter("reason is null").groupBy(*item, "form").agg(F.min("pair_id").alias("first"))
+    same = [read[c].eqNullSafe(first[c]) for c in (*item, "form")]
+    joined = read.join(first, same, "left").select("pair_id", F.coalesce("reason", F.when(F.col("first") < F.col("pair_id"), "duplicate")).alias("reason"))
+    return joined
+
+
 @query(r"""SELECT pair_id, list_transform(list_filter(string_split(output, chr(10)), lambda x: regexp_matches(x, '^\s*\d+[.)]\s+\S')), lambda x: trim(regexp_replace(x, '^\s*\d+[.)]\s+', ''))) AS items
 FROM level_results WHERE regexp_matches(output, '(^|\n)\s*1[.)]\s+\S')""")
 def T20_numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +161,17 @@ def T22_category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "level_results", "domain").distinct().join(F.broadcast(known), "domain", "left")  # three rows
 
 
-@query()
+_CLASSES = " ".join(f"WHEN regexp_matches(lower(raw_value), '{pattern}') THEN '{name}'" for name, pattern in text.ERRORS)
+
+
+@query(f"""SELECT delivery_id, CASE WHEN raw_value IS NULL THEN NULL {_CLASSES} ELSE 'other' END AS error_class FROM jsonl_rows""")
 def T23_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "jsonl_rows", "delivery_id", "raw_value")
-    return rows.select("delivery_id", text.error_class(F.col("raw_value")).alias("error_class"), F.sha2(text.redacted(F.col("raw_value")), 256).alias("redacted_sha256"))
+    return table(spark, sf_dir, "jsonl_rows", "delivery_id", "raw_value").select("delivery_id", text.error_class(F.col("raw_value")).alias("error_class"))
+
+
+@query(r"""SELECT delivery_id, sha256(regexp_replace(regexp_replace(regexp_replace(raw_value, 'bearer\s+[A-Za-z0-9._~+/-]+=*', 'bearer [redacted]', 'gi'), '((?:api[_-]?key|token|secret)\s*[=:]\s*)\S+', '\1[redacted]', 'gi'), '\b[0-9a-f]{32,}\b', '[redacted]', 'g')) AS redacted_sha256 FROM jsonl_rows""")
+def T23_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "jsonl_rows", "delivery_id", "raw_value").select("delivery_id", F.sha2(text.redacted(F.col("raw_value")), 256).alias("redacted_sha256"))
 
 
 @query()
@@ -154,14 +184,11 @@ def T25_canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_EXPLODED}, w AS (SELECT o.pair_id, sum(o.n * coalesce(p.n, 0)) AS dot FROM o LEFT JOIN p ON o.pair_id = p.pair_id AND o.w = p.w GROUP BY 1),
 a AS (SELECT pair_id, sqrt(sum(n * n)) AS s FROM o GROUP BY 1), b AS (SELECT pair_id, sqrt(sum(n * n)) AS s FROM p GROUP BY 1)
-SELECT w.pair_id, round(coalesce(w.dot / nullif(a.s * b.s, 0), 0), 6) AS cosine FROM w JOIN a ON a.pair_id = w.pair_id LEFT JOIN b ON b.pair_id = w.pair_id""")
+SELECT l.pair_id, round(coalesce(w.dot / nullif(a.s * b.s, 0), 0), 6) AS cosine FROM level_results l LEFT JOIN w ON w.pair_id = l.pair_id LEFT JOIN a ON a.pair_id = l.pair_id LEFT JOIN b ON b.pair_id = l.pair_id""")
 def T12_bag_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = lambda c: _pairs(spark, sf_dir).select("pair_id", F.explode(text.words(F.col(c))).alias("w")).groupBy("pair_id", "w").agg(F.count("*").alias(c))
-    both = counts("output").join(counts("prompt"), ["pair_id", "w"], "full").fillna(0, ["output", "prompt"]).groupBy("pair_id")
-    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
-    sums = both.agg(dot("output", "prompt").alias("d"), dot("output", "output").alias("a"), dot("prompt", "prompt").alias("b")).filter("a > 0")
-    cosine = F.try_divide(F.col("d"), F.sqrt(F.col("a")) * F.sqrt(F.col("b")))
-    return rounded(sums.select("pair_id", F.coalesce(cosine, F.lit(0.0)).alias("cosine")))
+    """Cosine of the word counts of prompt and output; 0 where either has no words."""
+    rows = _pairs(spark, sf_dir).select("pair_id", features.coverage(F.col("prompt"), F.col("output")).alias("c"))
+    return rounded(rows.select("pair_id", "c.cosine"))
 
 
 @query(r"""SELECT pair_id, CASE regexp_extract(prompt, '[1-6]') WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '3' THEN 'three' WHEN '4' THEN 'four' WHEN '5' THEN 'five' WHEN '6' THEN 'six'
@@ -182,10 +209,14 @@ def T26_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", F.sha2(F.concat_ws("\0", *parts), 256).alias("path_id"))
 
 
-@query()
+@query(rf"""WITH c AS (SELECT pair_id, prompt, ltrim(CASE WHEN pair_id % 3 = 0 THEN output ELSE '{text.MARKER}' || output END) AS given FROM level_results),
+r AS (SELECT *, substr(given, {len(text.MARKER) + 1}) AS rest FROM c),
+n AS (SELECT *, left(trim(regexp_replace(lower(coalesce(prompt, '')), '[{_SPACE}]+', ' ', 'g')), 80) AS head, left(trim(regexp_replace(lower(rest), '[{_SPACE}]+', ' ', 'g')), 500) AS tail FROM r)
+SELECT pair_id, sha256(CASE WHEN starts_with(given, '{text.MARKER}') AND trim(rest) <> '' AND NOT (length(head) >= 80 AND contains(tail, head)) THEN coalesce(prompt, '') || rest END) AS merged_sha256 FROM n""")
 def T24_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir)
-    return rows.select("pair_id", F.sha2(F.coalesce(text.merged_continuation(F.col("prompt"), F.col("output")), F.lit("")), 256).alias("merged_sha256"))
+    """Outputs as continuations of their prompts; every third comes without the marker and is rejected."""
+    marked = F.when(F.col("pair_id") % 3 == 0, F.col("output")).otherwise(F.concat(F.lit(text.MARKER), F.col("output")))
+    return _pairs(spark, sf_dir).select("pair_id", F.sha2(text.merged_continuation(F.col("prompt"), marked), 256).alias("merged_sha256"))
 
 
 QUERIES, SQL = query.QUERIES, query.SQL

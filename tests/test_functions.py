@@ -83,13 +83,12 @@ def test_midranks_and_correlations_against_numpy(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("One two. Three",), ("",), (None,), ("no no no no no no no no",), ("Straße ÉTÉ x_1",)], "t string")
-    out = df.select(
+    out = df.withColumn("ws", text.words(F.col("t"))).select(
         text.first_sentence(F.col("t")).alias("s"), text.is_repetitive(F.col("t")).alias("r"), F.array_join(text.words(F.col("t")), " ").alias("w"),
-        F.array_join(text.ngrams(text.words(F.col("t")), 2), "|").alias("g"), F.array_join(text.char_ngrams(F.col("t"), 5), "|").alias("c"),
+        F.array_join(text.ngrams(F.col("ws"), 2), "|").alias("g"),
     ).collect()
-    assert [r.s for r in out[:2]] == ["One two.", ""] and [r.r for r in out] == [False, False, False, True, False]
+    assert [r.s for r in out[:2]] == ["One two.", ""] and [r.r for r in out] == [False, True, True, False, False]
     assert out[4].w == "strasse été x_1" and out[0].g == "one two|two three" and out[1].g == ""
-    assert out[0].c.split("|") == ["One two. Three"[i : i + 5] for i in range(10)]
 
 
 def test_geometry_edges():
@@ -101,9 +100,45 @@ def test_geometry_edges():
     assert math.isclose(sum(v * v for v in geometry.hashed_vector("a b c")), 1.0) and not any(geometry.hashed_vector(None))
 
 
-def test_folds_do_not_depend_on_order_and_ridge_matches_numpy():
-    sizes = [("d" + str(i % 3), f"c{i}", 1 + i % 7) for i in range(60)]
-    assert models.grouped_folds(sizes, 1) == models.grouped_folds(sizes[::-1], 1)
+def test_medoids_revisits_and_vectors_by_hand():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 5, 9):
+        d = np.abs(rng.normal(size=(n, n)))
+        d = (d + d.T) / 2
+        np.fill_diagonal(d, 0)
+        k = min(3, n)
+        medoids, groups = [round(i * (n - 1) / (k - 1)) for i in range(k)], []
+        for _ in range(8):
+            groups = [min(range(k), key=lambda c: d[i][medoids[c]]) for i in range(n)]
+            best = [min((i for i in range(n) if groups[i] == c), key=lambda i: sum(d[i][j] for j in range(n) if groups[j] == c), default=medoids[c]) for c in range(k)]
+            if best == medoids:
+                break
+            medoids = best
+        assert math.isclose(geometry.switching_rate(d, 8), sum(a != b for a, b in zip(groups, groups[1:])) / (n - 1))
+        w = math.ceil(0.3 * n)
+        assert math.isclose(geometry.revisit_score(d), max([0.0, *[1 - d[i, j] for i in range(w) for j in range(n - w, n) if i != j]]))
+    assert geometry.vector_trajectory([])[0] == 0 and geometry.vector_trajectory([" ", "x"])[-1] == 0.5
+    got = dict(zip(geometry.TRAJECTORY.names, geometry.vector_trajectory(["a b", "a b", "c d"], lambda t: [[1, 0], [1, 0], [0, 1]])))
+    assert got["path_length"] == 1 and got["max_distance"] == 1 and got["local_coherence"] == 0.5 and got["curvature"] == 0 and got["revisit_score"] == 0
+    assert math.isclose(geometry.alignment([("a b", "A B"), ("a", None), (" ", "a")]), 1.0) and geometry.alignment([]) == 0.0
+
+
+def test_folds_keep_clusters_whole_and_do_not_depend_on_order(spark):
+    rows = [("d" + str(i % 3), f"c{i}", k) for i in range(300) for k in range(1 + i % 7)] + [(None, None, 1)] * 3 + [("d0", "hot", k) for k in range(400)]
+    schema = "domain string, cluster string, fold_before int"
+    one = {(r.domain, r.cluster, r.fold) for r in models.with_folds(spark.createDataFrame(rows, schema), "domain", "cluster", 1, "fold").collect()}
+    other = {(r.domain, r.cluster, r.fold) for r in models.with_folds(spark.createDataFrame(rows[::-1], schema).repartition(3), "domain", "cluster", 1, "fold").collect()}
+    assert one == other and len(one) == 302 and {f for _, _, f in one} == set(range(5))
+    sizes = {}
+    for d, c, _ in rows:
+        sizes[d, c] = sizes.get((d, c), 0) + 1
+    for d in ("d0", "d1", "d2"):
+        load = [sum(sizes[d, c] for x, c, f in one if x == d and f == fold and c != "hot") for fold in range(5)]
+        assert max(load) - min(load) <= 16
+    assert models.with_folds(spark.createDataFrame([], schema), "domain", "cluster", 1, "fold").count() == 0
+
+
+def test_ridge_matches_numpy():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
     y = x @ [1.0, -2.0, 0.5] + 3 + rng.normal(size=200) * 0.1
@@ -118,12 +153,30 @@ def test_folds_do_not_depend_on_order_and_ridge_matches_numpy():
 def test_bootstrap(spark):
     rows = [("k", f"c{i}", float(i % 5), 2) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, cluster string, total double, n int")
-    got = resample.additive(df, ["k"], "cluster", "total", "n", 100).first()
-    assert math.isclose(got.point, 1.0) and got.low < 1.0 < got.high and got.high - got.low < 0.5
-    x, y, w = np.array([0, 1, 1, 2, 3]), np.array([3, 1, 2, 2, 0]), np.array([1, 2, 0, 3, 1])
-    full = lambda v: np.repeat(v, w)
+    means = resample.additive(df, ["k"], "cluster", "total", "n", 100)
+    got = resample.intervals(means, ["k"], "mean", 100).first()
+    assert math.isclose(got.point, 1.0) and got.low < 1.0 < got.high and got.high - got.low < 0.5 and got.valid == 100
+    assert resample.intervals(means.withColumn("mean", F.expr("if(rep % 2 = 0, mean, null)")), ["k"], "mean", 100).first().low is None
+    w = {(r.cluster, r.rep): r.w for r in resample.replicated(df, "cluster", 50).collect()}
+    assert all(w[f"c{i}", resample.POINT] == 1 for i in range(200)) and 0.95 < sum(v for (_, rep), v in w.items() if rep >= 0) / 10_000 < 1.05
+    assert max(w.values()) >= 4 and len(resample.THRESHOLDS) > 15
+
+
+def test_rank_bootstrap_by_hand(spark):
+    rng = np.random.default_rng(2)
+    rows = [("e", f"c{i // 3}", float(x), float(y)) for i, (x, y) in enumerate(zip(rng.integers(0, 9, 90), rng.integers(0, 9, 90)))] + [("e", "c1", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, cluster string, x double, y double")
+    w = {(r.cluster, r.rep): r.w for r in resample.replicated(df.select("cluster").distinct(), "cluster", 4).collect()}
     rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
-    assert math.isclose(resample.weighted_spearman(x, y, w.astype(float)), np.corrcoef(rank(full(x)), rank(full(y)))[0, 1])
-    assert resample.weighted_spearman(x, y * 0, w.astype(float)) is None
-    assert resample.draw_counts(10, 1, 2).sum() == 10 and (resample.draw_counts(10, 1, 2) == resample.draw_counts(10, 1, 2)).all()
-    assert spark.range(0).count() == 0 and resample.rank_bootstrap(df.filter("k = 'x'"), "cluster", "total", "n", 3).count() == 0
+    for r in resample.rank_correlations(df, ["k"], "cluster", "x", "y", 4).collect():
+        drawn = [(x, y) for _, c, x, y in rows[:-1] for _ in range(w.get((c, r.rep), 0))]
+        a, b = (np.array(v) for v in zip(*drawn))
+        assert math.isclose(r.rho, np.corrcoef(rank(a), rank(b))[0, 1], abs_tol=1e-9)
+    assert resample.rank_correlations(df.filter("k = 'none'"), ["k"], "cluster", "x", "y", 3).count() == 0
+
+
+def test_strata_keep_their_sizes(spark):
+    rows = [("e", "ab"[i % 4 == 0], f"c{i}", float(i % 7), float(i % 5)) for i in range(400)]
+    sums = resample.pair_sums(spark.createDataFrame(rows, "k string, s string, cluster string, x double, y double"), ["k", "s", "cluster"], "x", "y")
+    got = resample.weighted_sums(resample.replicated(sums, "cluster", 20), ["k"], "s").collect()
+    assert len(got) == 21 and all(math.isclose(r.n, 400) for r in got) and len({round(r.x, 6) for r in got}) > 15
