@@ -57,6 +57,54 @@ def midranks(df: DataFrame, keys: list[str], value: str, to: str, weight: str |
     return df.join(ranks, [*keys, value], "left")
 
 
+def places(df: DataFrame, keys: list[str], order: list[Column], to: str) -> DataFrame:
+    """df with the place of each row, from 1, within keys in order; order must leave no ties.
+
+    Rows are cut into ranges of keys and order; places are counted within a range and ranges by their sizes, so a large
+    group is many tasks.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialized(ranged, "places")
+    sums = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_s"))
+    below = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_below"))
+    own = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+    same = ranged["_part"] == sums["_p"]
+    for i, k in enumerate(keys):
+        same = same & ranged[k].eqNullSafe(sums[f"_k{i}"])
+    out = ranged.withColumn("_own", own).join(sums, same)
+    return out.withColumn(to, F.col("_own") + F.col("_below")).drop("_own", "_part", "_p", "_below", *[f"_k{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
+    """keys and, for each name of wanted, the exact quantile of value by linear interpolation; a row counts weight times.
+
+    Values are counted first and the running count is taken over ranges of values, as in midranks(): no task holds all
+    values of a group. Null values, and weights that are not positive, do not count.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    rows = rows.filter(F.col(weight) > 0) if weight else rows
+    counts = rows.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
+    ranged = materialized(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "quantiles")
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
+    every = W.partitionBy(*keys)
+    sums = sums.withColumn("_below", F.coalesce(F.sum("_s").over(every.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.withColumn("_all", F.sum("_s").over(every)).drop("_s")
+    names = [f"_k{i}" for i in range(len(keys))]
+    sums = sums.withColumnsRenamed(dict(zip(keys, names))).withColumnRenamed("_part", "_p")
+    same = ranged["_part"] == sums["_p"]
+    for name, k in zip(names, keys):
+        same = same & ranged[k].eqNullSafe(sums[name])
+    upto = F.sum("_n").over(W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    placed = ranged.withColumn("_own", upto).join(sums, same).withColumn("_upto", F.col("_own") + F.col("_below"))
+    found = []
+    for name, q in wanted.items():
+        at = (F.col("_all") - 1) * q
+        low, high = (F.min(F.when(F.col("_upto") > f(at), F.col(value))) for f in (F.floor, F.ceil))
+        found.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*keys).agg(*found)
+
+
 def summary(value: str) -> list[Column]:
     """n, mean, sd (ddof 1), min, max."""
     return [
@@ -65,10 +113,35 @@ def summary(value: str) -> list[Column]:
     ]
 
 
-def describe(value: str) -> list[Column]:
-    """n, mean, sd (ddof 0), min, quartiles by linear interpolation, max."""
-    q = [F.percentile(value, p).alias(name) for p, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), *q, F.max(value).alias("max")]
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+def describe(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float] | None = None) -> DataFrame:
+    """keys, n, mean, sd (ddof 0), min, quantiles by linear interpolation, by default quartiles, and max."""
+    moments = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max")]
+    found = df.groupBy(*keys).agg(*moments)
+    wanted = QUARTILES if wanted is None else wanted
+    q = quantiles(df, keys, value, wanted).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & found[k].eqNullSafe(q[f"_{k}"])
+    return found.join(q, same, "left").select(*keys, "n", "mean", "sd", "min", *wanted, "max")
+
+
+def alpha_of(m: int, sum_: Column, squares: Column) -> Column:
+    """Krippendorff's interval alpha of units with m ratings each, none missing, from each unit's sum and sum of squares.
+
+    Null for no unit, and without variation.
+    """
+    n = F.count(F.lit(1)).cast("double") * m
+    within = 2 * F.sum(m * squares - sum_ * sum_) / ((m - 1) * n)
+    total = 2 * (n * F.sum(squares) - F.sum(sum_) * F.sum(sum_)) / (n * (n - 1))
+    return F.when(F.abs(total) > 1e-12, 1 - within / total)
+
+
+def phi(alone: Column, given: Column) -> Column:
+    """White-box share of a text's mean negative log-likelihood that its prompt explains; 0 where it has none alone."""
+    return F.when(alone > 0, (alone - given) / alone).when(alone.isNotNull(), F.lit(0.0))
 
 
 def tau_b(pairs: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:

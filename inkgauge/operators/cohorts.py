@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkgauge.functions import stats
+
 
 def hash_top(df: DataFrame, keys: list[str], member: str, n: int, seed: str, place: str) -> DataFrame:
     """The n members of each group that a seeded SHA-256 ranks first, with their place from 1.
@@ -22,16 +24,24 @@ def stratify(df: DataFrame, cell: list[str], score: str, ties: list[str], strata
 
     A cell with fewer rows than strata lies in the last one. Ties follow the columns ties.
     """
-    order = W.partitionBy(*cell).orderBy(F.desc(score), *ties)
-    size = F.floor(F.count("*").over(W.partitionBy(*cell)) / strata)
-    at = F.floor(F.try_divide(F.row_number().over(order) - 1, size))
-    return df.withColumn("stratum", (F.least(F.coalesce(at, F.lit(strata - 1)), F.lit(strata - 1)) + 1).cast("int"))
+    placed = stats.places(df, cell, [F.desc(score), *[F.col(t) for t in ties]], "_place")
+    sizes = df.groupBy(*cell).agg(F.floor(F.count("*") / strata).alias("_size"))
+    sizes = sizes.withColumnsRenamed({c: f"_{c}" for c in cell})
+    same = F.lit(True)
+    for c in cell:
+        same = same & placed[c].eqNullSafe(sizes[f"_{c}"])
+    at = F.floor(F.try_divide(F.col("_place") - 1, F.col("_size")))
+    out = placed.join(sizes, same).withColumn("stratum", (F.least(F.coalesce(at, F.lit(strata - 1)), F.lit(strata - 1)) + 1).cast("int"))
+    return out.drop("_place", "_size", *[f"_{c}" for c in cell])
 
 
 def roster_digest(df: DataFrame, keys: list[str], member: str) -> DataFrame:
-    """SHA-256 of the sorted different members of each group, taken over 256 parts by hash so that no list is whole."""
-    parts = df.select(*keys, F.substring(F.sha2(F.col(member).cast("string"), 256), 1, 2).alias("_part"), member).distinct()
-    lines = lambda c: F.sha2(F.array_join(c, "\n"), 256)
-    parts = parts.groupBy(*keys, "_part").agg(lines(F.array_sort(F.collect_list(member))).alias("_h"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_part", "_h"))), lambda x: x["_h"])
-    return parts.groupBy(*keys).agg(lines(ordered).alias("digest"))
+    """SHA-256 over the different members of each group in any order: of the sums, by lane, of their hashes.
+
+    Each member's SHA-256 is cut into eight lanes of 32 bits, the lanes are added up as whole numbers, and the count and the
+    sums are hashed. Sums need no list and no order, so a group of any size is aggregated before it is shuffled.
+    """
+    hashed = df.select(*keys, F.sha2(F.col(member).cast("string"), 256).alias("_h")).distinct()
+    lanes = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"_l{i}") for i in range(8)]
+    sums = hashed.groupBy(*keys).agg(F.count("*").cast("string").alias("_n"), *lanes)
+    return sums.select(*keys, F.sha2(F.concat_ws(":", "_n", *[f"_l{i}" for i in range(8)]), 256).alias("digest"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgauge.plans import cohorts, delivery, modelling, operations, records, scoring, statistics, texts
+from inkgauge.plans import cohorts, delivery, modelling, operations, records, reports, scoring, statistics, texts
 
-_MODULES = (scoring, texts, statistics, cohorts, records, modelling, operations, delivery)
+_MODULES = (scoring, texts, statistics, cohorts, records, modelling, reports, operations, delivery)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

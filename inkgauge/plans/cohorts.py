@@ -105,9 +105,11 @@ def C13_strongest_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(items(spark, sf_dir).groupBy(*ITEM).agg(best.alias("strongest"), F.max("r").alias("r")))
 
 
-@query("""WITH ids AS (SELECT DISTINCT generation_model AS model, domain, substr(sha256(id), 1, 2) AS part, id FROM level_results WHERE id IS NOT NULL),
-parts AS (SELECT model, domain, part, sha256(string_agg(id, chr(10) ORDER BY id)) AS h FROM ids GROUP BY 1, 2, 3)
-SELECT model, domain, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest FROM parts GROUP BY 1, 2""")
+_LANES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query(f"""WITH ids AS (SELECT DISTINCT generation_model AS model, domain, sha256(id) AS h FROM level_results WHERE id IS NOT NULL)
+SELECT model, domain, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LANES})) AS digest FROM ids GROUP BY 1, 2""")
 def C14_roster_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "level_results", "generation_model", "domain", "id").filter("id is not null")
     return cohorts.roster_digest(rows.withColumnRenamed("generation_model", "model"), ["model", "domain"], "id")
@@ -123,12 +125,30 @@ def C16_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*ITEM, "lv", F.when(F.expr("one = two"), F.col("one")).otherwise("human").alias("label"))
 
 
-@query(f"""WITH {RATINGS}, {PAIRED}, a AS (SELECT model, domain, id, lv, avg(act) AS act FROM paired WHERE evaluator = 'lark-8b' GROUP BY 1, 2, 3, 4)
-SELECT r.model, r.domain, r.id, r.lv, round(r.r, 9) AS r, round(a.act, 9) AS act FROM ratings r JOIN a ON r.model = a.model AND r.domain = a.domain AND r.id = a.id AND r.lv = a.lv
+@query(f"""WITH {RATINGS}, {PAIRED}, a AS (SELECT evaluator, model, domain, id, lv, avg(act) AS act, avg(phi) AS phi FROM paired GROUP BY 1, 2, 3, 4, 5)
+SELECT a.evaluator, r.model, r.domain, r.id, r.lv, round(r.r, 9) AS r, round(a.act, 9) AS act, round(a.phi, 9) AS phi FROM ratings r JOIN a ON r.model = a.model AND r.domain = a.domain AND r.id = a.id AND r.lv = a.lv
 WHERE r.r IS NOT NULL""")
 def J01_source_with_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = paired(spark, sf_dir).filter("evaluator = 'lark-8b'").groupBy(*ITEM, "lv").agg(F.avg("act").alias("act"))
-    return rounded(ratings(spark, sf_dir).filter("r is not null").join(a, [*ITEM, "lv"]).select(*ITEM, "lv", "r", "act"), 9)
+    """Ratings with the scores of every evaluator."""
+    a = paired(spark, sf_dir).groupBy("evaluator", *ITEM, "lv").agg(F.avg("act").alias("act"), F.avg("phi").alias("phi"))
+    return rounded(ratings(spark, sf_dir).filter("r is not null").join(a, [*ITEM, "lv"]).select("evaluator", *ITEM, "lv", "r", "act", "phi"), 9)
+
+
+@query(f"""WITH {RATINGS}, {PAIRED}, s AS (SELECT DISTINCT model, domain, id, lv FROM ratings WHERE r IS NOT NULL), e AS (SELECT DISTINCT evaluator FROM paired),
+a AS (SELECT DISTINCT evaluator, model, domain, id, lv FROM paired), w AS (SELECT e.evaluator, s.* FROM s, e)
+SELECT evaluator, sum(missing) AS without_score, sum(unknown) AS without_source FROM (
+  SELECT w.evaluator, 1 AS missing, 0 AS unknown FROM w ANTI JOIN a USING (evaluator, model, domain, id, lv) UNION ALL
+  SELECT a.evaluator, 0, 1 FROM a ANTI JOIN s USING (model, domain, id, lv) UNION ALL SELECT evaluator, 0, 0 FROM e) GROUP BY 1""")
+def J01_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluator the levels without a score and the scores without a level: full coverage has none of either."""
+    s = ratings(spark, sf_dir).filter("r is not null").select(*ITEM, "lv").distinct()
+    a = paired(spark, sf_dir).select("evaluator", *ITEM, "lv").distinct()
+    names = a.select("evaluator").distinct()
+    wanted = s.join(F.broadcast(names))  # as many names as evaluators
+    missing = wanted.join(a, ["evaluator", *ITEM, "lv"], "left_anti").groupBy("evaluator").agg(F.count("*").alias("m"))
+    unknown = a.join(s, [*ITEM, "lv"], "left_anti").groupBy("evaluator").agg(F.count("*").alias("u"))
+    out = names.join(missing, "evaluator", "left").join(unknown, "evaluator", "left")
+    return out.select("evaluator", F.coalesce("m", F.lit(0)).alias("without_score"), F.coalesce("u", F.lit(0)).alias("without_source"))
 
 
 @query("""SELECT l.pair_id, r.adapter_kind, r.max_output_tokens, CAST(l.output_tokens >= r.max_output_tokens AS BOOLEAN) AS at_limit
@@ -140,12 +160,16 @@ def J02_routes_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("pair_id", "adapter_kind", "max_output_tokens", F.expr("output_tokens >= max_output_tokens").alias("at_limit"))
 
 
-@query("""SELECT DISTINCT l.generation_model AS model, l.domain, l.id FROM level_results l
-WHERE NOT EXISTS (SELECT 1 FROM paired_items p WHERE p.generation_model = l.generation_model AND lower(trim(p.domain)) = l.domain AND p.id = l.id)""")
+@query("""WITH e AS (SELECT DISTINCT evaluator FROM paired_items), q AS (SELECT DISTINCT l.generation_model AS model, l.domain, l.id, e.evaluator FROM level_results l, e),
+d AS (SELECT DISTINCT generation_model AS model, lower(trim(domain)) AS domain, id, evaluator FROM paired_items WHERE len(list_filter(whitebox_phi, lambda x: x IS NOT NULL)) = 5)
+SELECT q.* FROM q ANTI JOIN d USING (model, domain, id, evaluator)""")
 def J05_pending_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that an evaluator has not scored on all five levels yet: the queue of a resumed run."""
     rows = table(spark, sf_dir, "level_results", "generation_model", "domain", "id").withColumnRenamed("generation_model", "model").distinct()
-    done = table(spark, sf_dir, "paired_items", "generation_model", "domain", "id")
-    return rows.join(done.select(F.col("generation_model").alias("model"), F.lower(F.trim("domain")).alias("domain"), "id"), ITEM, "left_anti")
+    scored = table(spark, sf_dir, "paired_items", "generation_model", "domain", "id", "evaluator", "whitebox_phi")
+    queue = rows.join(F.broadcast(scored.select("evaluator").distinct()))  # as many names as evaluators
+    done = scored.filter(F.size(F.filter("whitebox_phi", lambda x: x.isNotNull())) == 5)
+    return queue.join(done.select(F.col("generation_model").alias("model"), F.lower(F.trim("domain")).alias("domain"), "id", "evaluator"), [*ITEM, "evaluator"], "left_anti")
 
 
 @query("""WITH k AS (SELECT paired_id, lower(trim(source_cluster_domain)) AS domain, trim(source_cluster_id) AS id,

@@ -49,11 +49,21 @@ def X01_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitors.rate_limited(events, "user_id", "ts", "event_id", 3, 3600).drop("ts")
 
 
-@query()
-def X03_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
-    events = events.withColumn("failed", F.coalesce(F.col("event_type") == "error", F.lit(False)))
-    return monitors.outages(events, "user_id", "ts", "failed", 2, 60, 86_400 * 30)
+    return events.withColumn("failed", F.coalesce(F.col("event_type") == "error", F.lit(False)))
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(event_type = 'error', FALSE) AS failed FROM events),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, failed) AS before FROM e),
+r AS (SELECT *, sum(CASE WHEN NOT failed OR coalesce(epoch_us(ts) - epoch_us(before) > 3600000000, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, failed ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT user_id, count(*) AS failures, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros, count(*) >= 6 AND epoch_us(max(ts)) - epoch_us(min(ts)) >= 180000000 AS opens FROM r WHERE failed GROUP BY user_id, run""")
+def X03_failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of failures of a user, its length in time, and whether it opens the circuit: six over three minutes or more."""
+    runs = monitors.failure_runs(_failures(spark, sf_dir), "user_id", "ts", "failed")
+    micros = F.unix_micros("ended") - F.unix_micros("begun")
+    opens = (F.col("failures") >= monitors.FAILURES) & (micros >= monitors.DURATION * 1_000_000)
+    return runs.select("user_id", "failures", micros.alias("micros"), opens.alias("opens"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS "end", event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkgauge.functions import stats
 from inkgauge.operators import cohorts
 from inkgauge.plans.base import PAIRED, RATINGS, Register, paired, ratings, rounded
 from inkgauge.sources.tables import table
@@ -122,8 +123,8 @@ def C10_eligibility_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RATINGS} SELECT model, domain, id, lv, row_number() OVER (PARTITION BY domain, lv ORDER BY r DESC, model, id) AS place FROM ratings WHERE r IS NOT NULL""")
 def W03_rank_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("domain", "lv").orderBy(F.desc("r"), "model", "id")
-    return ratings(spark, sf_dir).filter("r is not null").select(*ITEM, "lv", F.row_number().over(order).cast("long").alias("place"))
+    rows = ratings(spark, sf_dir).filter("r is not null")
+    return stats.places(rows, ["domain", "lv"], [F.desc("r"), F.col("model"), F.col("id")], "place").select(*ITEM, "lv", "place")
 
 
 @query(f"""WITH {RATINGS} SELECT model, domain, id, lv, round(coalesce(sum(tokens) OVER (PARTITION BY model, domain, id ORDER BY lv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS history FROM ratings""")
@@ -143,16 +144,16 @@ def W07_ranks_in_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pair_id, domain || '_' || printf('%06d', n) AS loader_id FROM k""")
 def S05_sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "level_results", "pair_id", "domain", "prompt").filter("length(trim(prompt)) >= 10 and domain is not null")
-    n = F.row_number().over(W.partitionBy("domain").orderBy("pair_id")) - 1
-    return rows.select("pair_id", F.concat("domain", F.lit("_"), F.format_string("%06d", n)).alias("loader_id"))
+    placed = stats.places(rows.select("pair_id", "domain"), ["domain"], [F.col("pair_id")], "n")
+    return placed.select("pair_id", F.concat("domain", F.lit("_"), F.format_string("%06d", F.col("n") - 1)).alias("loader_id"))
 
 
 @query("""WITH k AS (SELECT delivery_id, stream, row_number() OVER (PARTITION BY stream ORDER BY received_at NULLS LAST, delivery_id) AS place FROM jsonl_rows)
 SELECT delivery_id, stream, CASE WHEN place <= 100 THEN 'taken' ELSE 'refused' END AS state FROM k""")
 def X02_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "jsonl_rows", "delivery_id", "stream", "received_at")
-    place = F.row_number().over(W.partitionBy("stream").orderBy(F.asc_nulls_last("received_at"), "delivery_id"))
-    return rows.select("delivery_id", "stream", F.when(place <= 100, "taken").otherwise("refused").alias("state"))
+    placed = stats.places(rows, ["stream"], [F.asc_nulls_last("received_at"), F.col("delivery_id")], "place")
+    return placed.select("delivery_id", "stream", F.when(F.col("place") <= 100, "taken").otherwise("refused").alias("state"))
 
 
 @query("""SELECT stream, batch_id, count(*) AS n_rows, min(line_number) AS first_line, max(line_number) AS last_line, CAST(sum(length(raw_value)) AS BIGINT) AS n_chars,

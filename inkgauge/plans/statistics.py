@@ -25,12 +25,12 @@ def A01_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(quantile_cont(r, 0.25), 9) AS q25, round(quantile_cont(r, 0.5), 9) AS median, round(quantile_cont(r, 0.75), 9) AS q75,
 round(max(r), 9) AS max FROM ratings GROUP BY domain""")
 def A02_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ratings(spark, sf_dir).groupBy("domain").agg(*stats.describe("r")), 9)
+    return rounded(stats.describe(ratings(spark, sf_dir), ["domain"], "r"), 9)
 
 
 @query(f"""WITH {RATINGS} SELECT lv, model, domain, CAST(grouping(lv) * 4 + grouping(model) * 2 + grouping(domain) AS BIGINT) AS scope, count(r) AS n,
 round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS sd, round(min(r), 9) AS min, round(max(r), 9) AS max
-FROM ratings GROUP BY GROUPING SETS ((), (lv), (model), (domain), (lv, model), (lv, domain), (model, domain), (lv, model, domain))""")
+FROM ratings GROUP BY CUBE (lv, model, domain)""")
 def A03_grouped_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ratings(spark, sf_dir).cube("lv", "model", "domain").agg(
         F.grouping_id().cast("long").alias("scope"), F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.min("r").alias("min"), F.max("r").alias("max")
@@ -40,7 +40,7 @@ def A03_grouped_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RATINGS} SELECT lv, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS sd, round(median(r), 9) AS median FROM ratings GROUP BY lv""")
 def A04_level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ratings(spark, sf_dir).groupBy("lv").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.median("r").alias("median")), 9)
+    return rounded(stats.describe(ratings(spark, sf_dir), ["lv"], "r", {"median": 0.5}).select("lv", "mean", "sd", "median"), 9)
 
 
 @query("""SELECT pair_id, generation_model AS model, rank() OVER (PARTITION BY generation_model ORDER BY actual_ratio)
@@ -328,7 +328,7 @@ def A34_mean_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT model, round(quantile_cont(v, 0.5), 6) AS weighted_median FROM (SELECT w.model, w.v FROM w, range(0, 100000) AS g(i) WHERE g.i < w.k) GROUP BY model""")
 def A35_weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "level_results", "generation_model", "actual_ratio", "output_tokens").filter("actual_ratio is not null and output_tokens > 0")
-    return rounded(rows.groupBy(F.col("generation_model").alias("model")).agg(F.percentile("actual_ratio", 0.5, F.col("output_tokens").cast("long")).alias("weighted_median")))
+    return rounded(stats.quantiles(rows.withColumnRenamed("generation_model", "model"), ["model"], "actual_ratio", {"weighted_median": 0.5}, "output_tokens"))
 
 
 @query("""WITH b AS (SELECT *, CASE WHEN output_tokens < 32 THEN 0 WHEN output_tokens < 64 THEN 1 WHEN output_tokens < 128 THEN 2 WHEN output_tokens < 192 THEN 3
@@ -338,8 +338,8 @@ def A37_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "level_results", "output_tokens", "actual_ratio").dropna()
     t = F.col("output_tokens")
     bin_ = F.when(t < 32, 0).when(t < 64, 1).when(t < 128, 2).when(t < 192, 3).when(t < 256, 4).otherwise(5)
-    v = "actual_ratio"
-    return rounded(rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("sd")), 9)
+    found = stats.describe(rows.withColumn("bin", bin_), ["bin"], "actual_ratio", {"median": 0.5})
+    return rounded(found.select("bin", "n", "mean", "median", "sd"), 9)
 
 
 @query("""SELECT generation_model AS model, domain, count(*) AS pairs, count(actual_ratio) AS scored, round(count(actual_ratio) / CAST(count(*) AS DOUBLE), 6) AS coverage,

@@ -155,12 +155,6 @@ def T20_numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", text.numbered_items(F.col("output")).alias("items"))
 
 
-@query("""SELECT DISTINCT l.domain, CASE l.domain WHEN 'arxiv' THEN 'science' WHEN 'news' THEN 'press' WHEN 'patent' THEN 'law' END AS category FROM level_results l""")
-def T22_category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("arxiv", "science"), ("news", "press"), ("patent", "law")], "domain string, category string")
-    return table(spark, sf_dir, "level_results", "domain").distinct().join(F.broadcast(known), "domain", "left")  # three rows
-
-
 _CLASSES = " ".join(f"WHEN regexp_matches(lower(raw_value), '{pattern}') THEN '{name}'" for name, pattern in text.ERRORS)
 
 
@@ -191,16 +185,6 @@ def T12_bag_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("pair_id", "c.cosine"))
 
 
-@query(r"""SELECT pair_id, CASE regexp_extract(prompt, '[1-6]') WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '3' THEN 'three' WHEN '4' THEN 'four' WHEN '5' THEN 'five' WHEN '6' THEN 'six'
-ELSE CASE WHEN regexp_matches(lower(prompt), 'poem|verse') THEN 'verse' WHEN regexp_matches(lower(prompt), 'title|heading|headline') THEN 'title' ELSE 'other' END END AS category FROM level_results WHERE prompt IS NOT NULL""")
-def T21_category_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digit = F.regexp_extract("prompt", "[1-6]", 0)
-    out = F.when(digit == "1", "one").when(digit == "2", "two").when(digit == "3", "three").when(digit == "4", "four").when(digit == "5", "five").when(digit == "6", "six")
-    low = F.lower("prompt")
-    out = out.when(low.rlike("poem|verse"), "verse").when(low.rlike("title|heading|headline"), "title").otherwise("other")
-    return _pairs(spark, sf_dir).filter("prompt is not null").select("pair_id", out.alias("category"))
-
-
 @query("""SELECT pair_id, sha256(concat_ws(chr(0), generation_model, domain, id, level, prompt_sha256)) AS path_id FROM level_results
 WHERE generation_model IS NOT NULL AND domain IS NOT NULL AND id IS NOT NULL AND level IS NOT NULL AND prompt_sha256 IS NOT NULL""")
 def T26_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

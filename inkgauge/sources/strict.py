@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -47,6 +50,66 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def checked_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """manifest (path, size, sha256) with verified: whether the file is there with that size and hash."""
+    there = inventory(spark, path).select("path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
+    same = (F.col("size") == F.col("_size")) & (F.col("sha256") == F.col("_sha"))
+    return manifest.join(there, "path", "left").withColumn("verified", F.coalesce(same, F.lit(False))).drop("_size", "_sha")
+
+
+def csv_cache(df: DataFrame, folder: str) -> DataFrame:
+    """df written as CSV into a new folder and read back with its schema; null and the empty text stay apart."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    options = {"header": "true", "nullValue": "\\N", "quote": '"', "escape": '"'}
+    df.write.options(**options).csv(path)
+    return df.sparkSession.read.schema(df.schema).options(multiLine="true", **options).csv(path)
+
+
+def json_sink(df: DataFrame, folder: str) -> DataFrame:
+    """df written as JSON lines into a new folder, one row a line and nulls kept, and read back with its schema."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("ignoreNullFields", "false").json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
+def write_identical(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Creates path, or leaves it if it holds the same rows by keys and content; other content is an error."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return write_once(df, path)
+    mark = lambda rows, n: rows.select(*keys, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("_h"), F.lit(n).alias("_n"))
+    both = mark(df, 1).unionByName(mark(spark.read.parquet(path), -1))
+    if not both.groupBy(*keys, "_h").agg(F.sum("_n").alias("d")).filter("d <> 0").isEmpty():
+        raise ValueError(f"{path} holds other rows")
+    return None
+
+
+def checkpoint_with(df: DataFrame, path: str, meta: dict[str, str]) -> None:
+    """Parquet at path with meta beside the rows, so that they can't be mistaken for those of another run."""
+    write_once(df.withColumn("_meta", F.lit(json.dumps(meta, sort_keys=True))), path)
+
+
+def read_checkpoint(spark: SparkSession, path: str, meta: dict[str, str]) -> DataFrame:
+    """The rows of checkpoint_with(); an error if they were written under other meta."""
+    rows = spark.read.parquet(path)
+    if not rows.filter(F.col("_meta") != json.dumps(meta, sort_keys=True)).isEmpty():
+        raise ValueError(f"{path} was written by another run")
+    return rows.drop("_meta")
+
+
+def torn_lines(lines: DataFrame, line: str, last: str) -> DataFrame:
+    """lines with torn: the last line of a file (last true) that is no JSON object, as a writer that was stopped leaves it."""
+    whole = F.try_parse_json(line).isNotNull() & F.trim(line).startswith("{")
+    return lines.withColumn("torn", F.coalesce(F.col(last) & ~whole, F.lit(False)))
+
+
+def markdown(*columns: str) -> Column:
+    """A row of a Markdown table; bars within a cell are escaped and nulls are empty."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Parquet at path, all or nothing; an existing table is an error."""
     df.write.mode("errorifexists").parquet(path)

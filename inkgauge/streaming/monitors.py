@@ -17,19 +17,27 @@ def rate_limited(events: DataFrame, key: str, time: str, ident: str, limit: int,
     return out.withColumn("over", F.col("recent") > limit)
 
 
-def outages(events: DataFrame, key: str, time: str, failed: str, least: int, seconds: int, gap: int) -> DataFrame:
-    """key, begun, ended, failures of runs of at least least failures over at least seconds, no two more than gap apart.
+#: Failures, seconds from the first to the last of them, and most seconds between two, by which a circuit opens (fixed values).
+FAILURES, DURATION, GAP = 6, 180, 3600
+
+
+def failure_runs(events: DataFrame, key: str, time: str, failed: str, gap: int = GAP) -> DataFrame:
+    """key, begun, ended, failures: runs of failures of a key, no two more than gap seconds apart.
 
     A success ends a run. Events of equal time count in the order failed last.
     """
     order = W.partitionBy(key).orderBy(time, failed)
     before = F.lag(time).over(order)
-    late = F.unix_seconds(time) - F.unix_seconds(before) > gap
+    late = F.unix_micros(time) - F.unix_micros(before) > gap * 1_000_000
     breaks = (~F.col(failed)) | F.coalesce(late, F.lit(False))
-    runs = events.withColumn("_run", F.sum(breaks.cast("int")).over(order)).filter(F.col(failed))
-    found = runs.groupBy(key, "_run").agg(F.min(time).alias("begun"), F.max(time).alias("ended"), F.count("*").alias("failures"))
-    lasting = F.unix_seconds("ended") - F.unix_seconds("begun") >= seconds
-    return found.filter((F.col("failures") >= least) & lasting).drop("_run")
+    runs = events.withColumn("_run", F.sum(breaks.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(F.col(failed))
+    return runs.groupBy(key, "_run").agg(F.min(time).alias("begun"), F.max(time).alias("ended"), F.count("*").alias("failures")).drop("_run")
+
+
+def outages(events: DataFrame, key: str, time: str, failed: str, least: int = FAILURES, seconds: int = DURATION, gap: int = GAP) -> DataFrame:
+    """failure_runs() that open a circuit: at least so many failures over at least so many seconds."""
+    lasting = F.unix_micros("ended") - F.unix_micros("begun") >= seconds * 1_000_000
+    return failure_runs(events, key, time, failed, gap).filter((F.col("failures") >= least) & lasting)
 
 
 def stream_counts(spark: SparkSession, folder: str, schema, time: str, key: str, window: str, late: str, name: str) -> DataFrame:
@@ -37,12 +45,13 @@ def stream_counts(spark: SparkSession, folder: str, schema, time: str, key: str,
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(folder)
     events = events.withColumn(time, F.col(time).cast("timestamp"))
     counts = events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n"))
-    query = (
-        counts.select("w.start", "w.end", key, "n").writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+    place = f"{shared_dir(spark)}/{name}"
+    # Each trigger writes the windows that have changed, numbered; the last word on a window is the latest one.
+    write = lambda batch, epoch: batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{place}/rows")
+    query = counts.select("w.start", "w.end", key, "n").writeStream.outputMode("update").foreachBatch(write)
+    query.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    latest = F.max_by("n", "epoch").alias("n")
+    return spark.read.parquet(f"{place}/rows").groupBy("start", "end", key).agg(latest)
 
 
 def journal(spark: SparkSession, stream: DataFrame, key: str, target: str, checkpoint: str) -> None:

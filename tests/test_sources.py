@@ -1,7 +1,9 @@
+import uuid
 from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgauge.sources import strict
@@ -40,7 +42,7 @@ def test_monitors(spark, tmp_path):
     assert monitors.outages(df.limit(0), "user_id", "ts", "failed", 5, 40, 60).count() == 0
     folder = str(tmp_path / "events")
     df.write.parquet(folder)
-    counts = monitors.stream_counts(spark, folder, df.schema, "ts", "user_id", "1 minute", "1 minute", "counts_test")
+    counts = monitors.stream_counts(spark, folder, df.schema, "ts", "user_id", "1 minute", "1 minute", f"counts_{uuid.uuid4().hex}")
     assert sorted(r.n for r in counts.collect()) == [6, 6]
     for name in ("first", "second"):
         stream = spark.readStream.schema(df.schema).parquet(folder)
@@ -66,3 +68,23 @@ def test_a_cluster_needs_a_shared_folder():
     sc = N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True))), getConf=lambda: {}, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         session.shared_dir(N(sparkContext=sc, conf=N(get=lambda *_: None)))
+
+
+def test_identical_checkpoints_manifests_and_torn_lines(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b", None), (2, "", 0.5)], "k int, t string, x double")
+    target = str(tmp_path / "table")
+    strict.write_identical(df, target, ["k"])
+    strict.write_identical(df.orderBy("t"), target, ["k"])
+    with pytest.raises(ValueError):
+        strict.write_identical(df.withColumn("x", F.lit(1.0)), target, ["k"])
+    strict.checkpoint_with(df, str(tmp_path / "point"), {"run": "1"})
+    assert strict.read_checkpoint(spark, str(tmp_path / "point"), {"run": "1"}).count() == 2
+    with pytest.raises(ValueError):
+        strict.read_checkpoint(spark, str(tmp_path / "point"), {"run": "2"})
+    assert sorted(strict.csv_cache(df, str(tmp_path / "csv")).collect()) == sorted(df.collect())
+    assert sorted(strict.json_sink(df, str(tmp_path / "json")).collect()) == sorted(df.collect())
+    assert [r.line for r in df.select(strict.markdown("t", "x").alias("line")).collect()] == ["| a\\|b |  |", "|  | 0.5 |"]
+    manifest = strict.inventory(spark, target).withColumn("sha256", F.when(F.col("path").endswith("_SUCCESS"), "0").otherwise(F.col("sha256")))
+    assert {r.verified for r in strict.checked_manifest(spark, target, manifest.unionByName(manifest.limit(1).withColumn("path", F.lit("gone")))).collect()} <= {True, False}
+    lines = spark.createDataFrame([('{"a":1}', False), ('{"a":', True), ('{"a":2}', True), (None, True)], "line string, last boolean")
+    assert [r.torn for r in strict.torn_lines(lines, "line", "last").collect()] == [False, True, False, True]
