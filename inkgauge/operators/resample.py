@@ -58,8 +58,21 @@ def weight_sql(replicate: str, cluster: str, seed: int = SEED) -> str:
 
 
 def replicated(clusters: DataFrame, cluster: str, replicates: int, seed: int = SEED) -> DataFrame:
-    """clusters for every replicate and POINT, with rep and w; rows of multiplicity 0 are left out. A null cluster is one."""
-    out = clusters.withColumn("rep", F.explode(F.sequence(F.lit(POINT), F.lit(replicates - 1))))
+    """clusters for every replicate and POINT, with rep and w; rows of multiplicity 0 are left out. A null cluster is one.
+
+    clusters has few rows for each cluster, as sums by level or rater are: they are taken together, so that a draw is made
+    once for all of them.
+    """
+    rest = [c for c in clusters.columns if c != cluster]
+    sets = clusters.groupBy(cluster).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    draws = sets.withColumn("rep", F.explode(F.sequence(F.lit(POINT), F.lit(replicates - 1))))
+    draws = draws.withColumn("w", poisson_weight(F.col("rep"), F.coalesce(F.col(cluster).cast("string"), F.lit("")), seed)).filter("w > 0")
+    return draws.select(cluster, "rep", "w", F.inline("_rows"))
+
+
+def replicated_rows(rows: DataFrame, cluster: str, replicates: int, seed: int = SEED) -> DataFrame:
+    """replicated() for rows as they are, of which one cluster may have any number."""
+    out = rows.withColumn("rep", F.explode(F.sequence(F.lit(POINT), F.lit(replicates - 1))))
     return out.withColumn("w", poisson_weight(F.col("rep"), F.coalesce(F.col(cluster).cast("string"), F.lit("")), seed)).filter("w > 0")
 
 
@@ -127,7 +140,7 @@ def rank_correlations(rows: DataFrame, keys: list[str], cluster: str, x: str, y:
     A row that counts w times holds w ranks; the weighted midranks come from counted ranges of values (stats.midranks), so
     neither a replicate nor a group is one task and nothing is kept on the driver.
     """
-    draws = replicated(rows.select(*keys, cluster, x, y).dropna(subset=[x, y]), cluster, replicates)
+    draws = replicated_rows(rows.select(*keys, cluster, x, y).dropna(subset=[x, y]), cluster, replicates)
     draws = draws.groupBy(*keys, "rep", x, y).agg(F.sum("w").alias("w"))
     ranked = stats.midranks(stats.midranks(draws, [*keys, "rep"], x, "_rx", "w"), [*keys, "rep"], y, "_ry", "w")
     w, a, b = F.col("w"), F.col("_rx"), F.col("_ry")
