@@ -17,7 +17,7 @@ _CORRUPT = "_corrupt"
 def checked_lines(lines: DataFrame, line: str, schema: T.StructType, key: str) -> DataFrame:
     """lines with the parsed row in parsed and the reason of its rejection in reason, null for a good row.
 
-    Reasons, the first that holds: blank, malformed (no JSON object of the schema, or NaN), key missing, duplicate (the
+    Reasons, the first that holds: blank, malformed (no JSON object of the schema, NaN, or a key that comes twice in an object), key missing, duplicate (the
     same content under the same key before), conflict (another content under the same key). "Before" follows the order of
     the content, so that the outcome does not depend on partitions.
     """
@@ -27,7 +27,7 @@ def checked_lines(lines: DataFrame, line: str, schema: T.StructType, key: str) -
     out = out.withColumn("_key", F.col("parsed")[key].cast("string")).withColumn("_hash", F.sha2(F.coalesce(F.col(line), F.lit("")), 256))
     bad = (
         F.when(F.trim(F.coalesce(F.col(line), F.lit(""))) == "", "blank")
-        .when(F.col("parsed").isNull() | F.col("parsed")[_CORRUPT].isNotNull(), "malformed")
+        .when(F.col("parsed").isNull() | F.col("parsed")[_CORRUPT].isNotNull() | F.try_parse_json(line).isNull(), "malformed")
         .when(F.col("_key").isNull() | (F.trim("_key") == ""), "key missing")
     )
     out = out.withColumn("reason", bad)

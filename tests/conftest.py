@@ -23,5 +23,5 @@ def spark():
 def sf_dir():
     folder = Path("/root/testdata/sf0.001")
     if not folder.exists():
-        pytest.skip("the test tables are not here")
+        pytest.fail(f"the test tables are not in {folder}; tests of queries need them")
     return str(folder)

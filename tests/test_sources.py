@@ -13,11 +13,11 @@ SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("x", T
 
 
 def test_lines_are_rejected_with_a_reason(spark):
-    lines = ['{"id":"a","x":1}', '{"id":"a","x":1}', '{"id":"b","x":1}', '{"id":"b","x":2}', "", None, "{bad", '{"x":1}', '{"id":"c","x":"no"}', '{"id":"d","x":1}']
+    lines = ['{"id":"a","x":1}', '{"id":"a","x":1}', '{"id":"b","x":1}', '{"id":"b","x":2}', "", None, "{bad", '{"x":1}', '{"id":"c","x":"no"}', '{"id":"d","x":1}', '{"id":"e","id":"f","x":1}']
     df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(lines)], "i int, line string, note string")
     got = {r.i: r.reason for r in strict.checked_lines(df, "line", SCHEMA, "id").select("i", "reason").collect()}
     assert got[0] == got[1] == "duplicate" and sorted([str(got[2]), str(got[3])]) == ["None", "conflict"]
-    assert [got[i] for i in (4, 5, 6, 7, 8, 9)] == ["blank", "blank", "malformed", "key missing", "malformed", None]
+    assert [got[i] for i in (4, 5, 6, 7, 8, 9, 10)] == ["blank", "blank", "malformed", "key missing", "malformed", None, "malformed"]
     assert strict.checked_lines(df.limit(0), "line", SCHEMA, "id").count() == 0
 
 
