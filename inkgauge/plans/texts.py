@@ -107,7 +107,10 @@ def T13_top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("k", F.row_number().over(order)).filter("k <= 20").drop("k")
 
 
-@query(rf"""WITH s AS (SELECT pair_id, CASE WHEN regexp_extract(output, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) = '' THEN trim(output) ELSE regexp_extract(output, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) END AS w FROM level_results)
+_strip = lambda c: rf"regexp_replace({c}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
+
+
+@query(rf"""WITH s AS (SELECT pair_id, CASE WHEN regexp_extract(output, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) = '' THEN {_strip('output')} ELSE regexp_extract(output, '(?s)^\s*(.*?[.!?])(?:\s|$)', 1) END AS w FROM level_results)
 SELECT pair_id, CASE WHEN length(w) > 180 THEN rtrim(left(w, 177)) || '...' ELSE w END AS sentence FROM s""")
 def T14_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", text.first_sentence(F.col("output")).alias("sentence"))
@@ -196,7 +199,7 @@ def T26_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH c AS (SELECT pair_id, prompt, ltrim(CASE WHEN pair_id % 3 = 0 THEN output ELSE '{text.MARKER}' || output END) AS given FROM level_results),
 r AS (SELECT *, substr(given, {len(text.MARKER) + 1}) AS rest FROM c),
 n AS (SELECT *, left(trim(regexp_replace(lower(coalesce(prompt, '')), '[{_SPACE}]+', ' ', 'g')), 80) AS head, left(trim(regexp_replace(lower(rest), '[{_SPACE}]+', ' ', 'g')), 500) AS tail FROM r)
-SELECT pair_id, sha256(CASE WHEN starts_with(given, '{text.MARKER}') AND trim(rest) <> '' AND NOT (length(head) >= 80 AND contains(tail, head)) THEN coalesce(prompt, '') || rest END) AS merged_sha256 FROM n""")
+SELECT pair_id, sha256(CASE WHEN starts_with(given, '{text.MARKER}') AND {_strip('rest')} <> '' AND NOT (length(head) >= 80 AND contains(tail, head)) THEN coalesce(prompt, '') || rest END) AS merged_sha256 FROM n""")
 def T24_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs as continuations of their prompts; every third comes without the marker and is rejected."""
     marked = F.when(F.col("pair_id") % 3 == 0, F.col("output")).otherwise(F.concat(F.lit(text.MARKER), F.col("output")))
