@@ -381,7 +381,7 @@ def J03_roster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(roster, [*ITEM, "lv"]).select("pair_id", F.col("stratum").alias("label"), F.expr("stratum <> lv").alias("changed"))
 
 
-@query("""SELECT p.paired_id, count(*) AS level_rows, round(avg(l.actual_ratio), 6) AS mean_ratio FROM paired_items p JOIN level_results l ON l.generation_model = p.generation_model AND l.domain = lower(trim(p.domain)) AND l.id = p.id
+@query("""SELECT p.paired_id, count(*) AS level_rows, round(avg(l.actual_ratio), 9) AS mean_ratio FROM paired_items p JOIN level_results l ON l.generation_model = p.generation_model AND l.domain = lower(trim(p.domain)) AND l.id = p.id
 WHERE p.source_cluster_fingerprint IS NULL OR p.source_cluster_fingerprint = 'legacy-id-fallback' GROUP BY 1""")
 def J11_legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy items, known by no fingerprint, joined with their level rows by identifier alone."""
@@ -390,7 +390,7 @@ def J11_legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = old.select("paired_id", F.col("generation_model").alias("model"), F.lower(F.trim("domain")).alias("domain"), "id")
     rows = table(spark, sf_dir, "level_results", *KEYS, "actual_ratio").withColumnRenamed("generation_model", "model")
     per_item = rows.groupBy(*ITEM).agg(F.count("*").alias("level_rows"), F.sum("actual_ratio").alias("s"), F.count("actual_ratio").alias("k"))
-    return rounded(old.join(per_item, ITEM).select("paired_id", "level_rows", F.try_divide("s", "k").alias("mean_ratio")))
+    return rounded(old.join(per_item, ITEM).select("paired_id", "level_rows", F.try_divide("s", "k").alias("mean_ratio")), 9)
 
 
 @query("""WITH c AS (SELECT domain, id FROM level_results WHERE domain IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT generation_model) >= 2),
