@@ -178,6 +178,16 @@ def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(n) or n < 1 else incomplete_beta(n / 2, 0.5, n / (n + a * a)) for a, n in zip(t, df)], dtype="Float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _normal_p(z: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)) for v in z], dtype="Float64")
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p-value of a standard normal value; null for null."""
+    return _normal_p(z.cast("double"))
+
+
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p-value of Student's t; null where t is null or df is below 1."""
     return _student_p(t, df.cast("double"))

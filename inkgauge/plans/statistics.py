@@ -399,10 +399,27 @@ def W08_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def A10_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = paired(spark, sf_dir).groupBy("evaluator", "model").agg(F.count("*").alias("n"), stats.pearson("phi", "act").alias("r"))
-    t = F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r")))
-    s = s.withColumn("t", F.when(F.col("n") > 2, t))
-    return rounded(s.withColumn("p", stats.student_p(F.col("t"), F.col("n") - 2)))
+    """Pearson's r and Spearman's rho of both scores with their two-sided p-values by Student's t; null for fewer than three."""
+    keys = ["evaluator", "model"]
+    ranked = stats.midranks(stats.midranks(paired(spark, sf_dir), keys, "phi", "rp"), keys, "act", "ra")
+    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), stats.pearson("phi", "act").alias("r"), stats.pearson("rp", "ra").alias("rho"))
+    t = lambda c: F.when(F.col("n") > 2, F.try_divide(F.col(c) * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col(c) * F.col(c))))
+    return rounded(s.withColumns({"p": stats.student_p(t("r"), F.col("n") - 2), "p_rho": stats.student_p(t("rho"), F.col("n") - 2)}))
+
+
+@query()
+def A15_signed_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed-rank test of first against last level by model: rank sums, tie-corrected z and two-sided p; zeros are dropped."""
+    at = lambda k: F.max(F.when(F.col("lv") == k, F.col("r")))
+    d = items(spark, sf_dir).groupBy(*ITEM).agg((at(1) - at(5)).alias("x")).filter("x <> 0").select("model", "x", F.abs("x").alias("size"))
+    ranked = stats.midranks(d, ["model"], "size", "rk")
+    ties = ranked.groupBy("model", "size").agg(F.count("*").alias("t"), F.sum(F.when(F.col("x") > 0, F.col("rk")).otherwise(0.0)).alias("w"))
+    sums = ties.groupBy("model").agg(F.sum("t").alias("n"), F.sum("w").alias("w_plus"), F.sum(F.expr("cast(t * t * t - t as double)")).alias("_ties"))
+    n = F.col("n").cast("double")
+    spread = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
+    z = F.when(spread > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(spread))
+    out = sums.withColumn("z", z)
+    return rounded(out.select("model", "n", "w_plus", "z", stats.normal_p(F.col("z")).alias("p")))
 
 
 @query(f"""WITH {RATINGS} SELECT domain, round(avg(CASE WHEN lv = 1 THEN r END), 6) AS first_level, round(avg(CASE WHEN lv = 5 THEN r END), 6) AS last_level,

@@ -29,7 +29,10 @@ def T01_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", text.token_count(F.col("output")).alias("tokens"))
 
 
-@query()
+_form = lambda c: rf"trim(regexp_replace(replace(lower(nfc_normalize(coalesce({c}, ''))), 'ß', 'ss'), '[{_SPACE}]+', ' ', 'g'))"
+
+
+@query(f"SELECT pair_id, CASE WHEN output IS NOT NULL THEN sha256({_form('output')}) END AS surface_sha256 FROM level_results")
 def T02_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_id", F.sha2(surface(F.col("output")), 256).alias("surface_sha256"))
 
@@ -59,9 +62,6 @@ def T04_bigram_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("pair_id", F.size("g").alias("bigrams"), share.alias("repeated")))
 
 
-_form = lambda c: rf"trim(regexp_replace(replace(lower(nfc_normalize(coalesce({c}, ''))), 'ß', 'ss'), '[{_SPACE}]+', ' ', 'g'))"
-
-
 def _char_sql(n: int) -> str:
     grams = lambda c: f"SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest(list_transform(range(1, greatest(length({c}) - {n - 2}, 1)), lambda i: substr({c}, i, {n}))) AS g FROM f) GROUP BY 1, 2"
     return f"""o{n} AS ({grams("o")}), p{n} AS ({grams("p")}), c{n} AS (SELECT o{n}.pair_id, sum(least(o{n}.n, coalesce(p{n}.n, 0))) / CAST(sum(o{n}.n) AS DOUBLE) AS c

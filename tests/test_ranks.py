@@ -63,3 +63,10 @@ def test_plugins(spark):
     assert [r.embedding for r in vectors] == [[13.0, 1.0], None, [0.0, 1.0]]
     values = {r.slot: r.value for r in plugins.with_metric(df, ["slot"], lambda g: float(len(g))).collect()}
     assert values == {"x": 2.0, "y": 1.0}
+
+
+def test_p_values(spark):
+    df = spark.createDataFrame([(1.959963984540054, 2.0), (0.0, 0.0), (None, None)], "z double, t double")
+    got = df.select(stats.normal_p(F.col("z")).alias("a"), stats.student_p(F.col("t"), F.lit(10)).alias("b")).collect()
+    assert math.isclose(got[0].a, 0.05, rel_tol=1e-9) and got[1].a == 1.0 and got[2].a is None
+    assert math.isclose(got[0].b, 0.07338803, rel_tol=1e-6) and got[1].b == 1.0 and got[2].b is None
