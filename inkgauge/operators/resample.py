@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions import stats
+from inkgauge.session import materialized
 
 #: Seed of all draws (a fixed value of the measure), and the replicate that is the sample itself.
 SEED, POINT = 20260823, -1
@@ -141,8 +142,10 @@ def rank_correlations(rows: DataFrame, keys: list[str], cluster: str, x: str, y:
     neither a replicate nor a group is one task and nothing is kept on the driver.
     """
     draws = replicated_rows(rows.select(*keys, cluster, x, y).dropna(subset=[x, y]), cluster, replicates)
-    draws = draws.groupBy(*keys, "rep", x, y).agg(F.sum("w").alias("w"))
-    ranked = stats.midranks(stats.midranks(draws, [*keys, "rep"], x, "_rx", "w"), [*keys, "rep"], y, "_ry", "w")
+    # Written, as each ranking reads its rows three times: to count, to cut ranges and to join.
+    draws = materialized(draws.groupBy(*keys, "rep", x, y).agg(F.sum("w").alias("w")), "draws")
+    ranked = materialized(stats.midranks(draws, [*keys, "rep"], x, "_rx", "w"), "ranked")
+    ranked = stats.midranks(ranked, [*keys, "rep"], y, "_ry", "w")
     w, a, b = F.col("w"), F.col("_rx"), F.col("_ry")
     parts = {"n": w.cast("double"), "x": w * a, "y": w * b, "xx": w * a * a, "yy": w * b * b, "xy": w * a * b}
     sums = ranked.groupBy(*keys, "rep").agg(*[F.sum(c).alias(name) for name, c in parts.items()])
