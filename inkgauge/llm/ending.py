@@ -249,8 +249,13 @@ def truncated(rows: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def rates(rows: DataFrame, routes: DataFrame) -> DataFrame:
-    """Per generation_model: pairs, outputs that are cut, and their share."""
+    """Per generation_model: pairs, outputs that are cut, their share, and unended_share, the baseline of the source: the
+    share of its outputs with text that have no proper end, cut or not.
+    """
     cut = truncated(rows, routes).groupBy("generation_model").agg(F.count("*").alias("cut"))
-    pairs = rows.groupBy("generation_model").agg(F.count("*").alias("pairs"))
+    some = F.trim("output") != ""
+    unended = F.avg(F.when(some, (~F.substring("output", -TAIL, TAIL).rlike(ENDED)).cast("double")))
+    pairs = rows.groupBy("generation_model").agg(F.count("*").alias("pairs"), F.coalesce(unended, F.lit(0.0)).alias("unended_share"))
     out = pairs.join(cut, pairs.generation_model.eqNullSafe(cut.generation_model), "left").drop(cut.generation_model)
-    return out.select("generation_model", "pairs", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("pairs")).alias("share"))
+    share = F.coalesce("cut", F.lit(0)) / F.col("pairs")
+    return out.select("generation_model", "pairs", F.coalesce("cut", F.lit(0)).alias("cut"), share.alias("share"), "unended_share")
