@@ -37,6 +37,26 @@ def test_long_path_and_star(spark):
     assert groups.contract(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_rounds_and_one_task_find_the_same_components(spark, monkeypatch):
+    r = random.Random(9)
+    edges = spark.createDataFrame([(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(7, None)], "a bigint, b bigint")
+
+    def found():
+        parts = {}
+        for v, root in groups.contract(edges).collect():
+            parts.setdefault(root, set()).add(v)
+        assert all(root in part for root, part in parts.items())
+        return sorted(map(sorted, parts.values()))
+
+    at_once = found()
+    monkeypatch.setattr(groups, "FEW_BYTES", 0)
+    in_rounds = found()
+    bytes_ = iter([10, 10, 0])
+    monkeypatch.setattr(groups, "FEW_BYTES", 5)
+    monkeypatch.setattr(groups, "plan_bytes", lambda df: next(bytes_))
+    assert at_once == in_rounds == found()
+
+
 def test_rows_are_related_over_source_and_fingerprint(spark):
     f, g = "AB" * 32, "cd" * 32
     rows = [
