@@ -110,8 +110,7 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item the greater of its trajectory's composite and its guidance; the former counts from two texts on."""
-    both = _sequences(spark, sf_dir).select(*ITEM, geometry.with_trajectory(F.col("outputs")).alias("t"), geometry.with_guidance(F.col("prompts"), F.col("outputs")).alias("g"))
-    return both.select(*ITEM, F.when(F.col("t.turn_count") >= 2, F.greatest("t.composite", "g")).otherwise(F.col("g")).alias("path"))
+    return _sequences(spark, sf_dir).select(*ITEM, geometry.with_path(F.col("prompts"), F.col("outputs")).alias("path"))
 
 
 @query()

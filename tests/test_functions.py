@@ -23,6 +23,12 @@ def test_code_lengths_are_those_of_the_highest_level():
         codecs.code_length(b"", "none")
 
 
+def test_bz2_lengths_where_runs_grow():
+    for n in (codecs.ONE_BLOCK - 1, codecs.ONE_BLOCK, codecs.ONE_BLOCK + 1, 100_000):
+        data = b"".join(bytes([i % 251]) * 4 for i in range(n // 4 + 1))[:n]
+        assert codecs.code_length(data, "bz2") == len(bz2.compress(data, 9))
+
+
 def test_pair_bits_and_gain(spark):
     same = "the quick brown fox jumps over the lazy dog " * 5
     df = spark.createDataFrame([(1, same, same), (2, same, ""), (3, "", same), (4, None, None)], "i int, o string, p string")
@@ -100,6 +106,47 @@ def test_geometry_edges():
     assert math.isclose(sum(v * v for v in geometry.hashed_vector("a b c")), 1.0) and not any(geometry.hashed_vector(None))
 
 
+def by_pair_bits(exchange):
+    history, saved, total = [], 0.0, 0.0
+    mean = lambda target, context, place: sum(x[place] for x in codecs.pair_bits(target, context)) / 3
+    for prompt, answer in exchange:
+        prompt, answer = (prompt or "").strip(), (answer or "").strip()
+        before = "\n".join(history)
+        history += [f"user: {prompt}"] if prompt else []
+        if prompt and answer:
+            saved += max(0.0, mean(answer, before, 2) - mean(answer, "\n".join(history), 2))
+            total += mean(answer, "", 1)
+        history += [f"assistant: {answer}"] if answer else []
+    return min(1.0, saved / total) if total else 0.0
+
+
+def test_path_is_the_greater_of_trajectory_and_guidance_at_less_work(monkeypatch):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice(["river", "lamp", "valve", "été", "bridge", "road", str(r.random())]) for _ in range(n))
+    noise = f"{r.getrandbits(3000)}"
+    cases = [([text(20) for _ in range(5)], [text(60) for _ in range(5)]) for _ in range(4)]
+    cases += [([noise], [noise]), ([noise, "x"], [noise, "y"]), ([text(90)] * 3, [text(90)] * 3), ([None, "a", " "], ["b", None, "c"]), (["a", "b"], [None, " x "]), ([], [])]
+    calls = []
+    length = codecs.code_length
+    monkeypatch.setattr(codecs, "code_length", lambda data, codec: calls.append((codec, len(data))) or length(data, codec))
+    higher = 0
+    for prompts, outputs in cases:
+        exchange = list(zip(prompts, outputs))
+        way = geometry.trajectory(outputs)
+        led = by_pair_bits(exchange)
+        assert geometry.guidance(exchange) == led
+        calls.clear()
+        got = geometry.path(prompts, outputs)
+        assert got == (max(way[-1], led) if way[0] > 1 else led)
+        higher += got == led > way[-1]
+        if len(outputs) == 5:
+            slow = sum(n for codec, n in calls if codec != "zlib")
+            calls.clear()
+            geometry.trajectory(outputs), by_pair_bits(exchange)
+            assert slow < 0.6 * sum(n for codec, n in calls if codec != "zlib")
+    assert higher
+
+
 def test_medoids_revisits_and_vectors_by_hand():
     rng = np.random.default_rng(5)
     for n in (2, 3, 5, 9):
